@@ -16,20 +16,23 @@ from pyspark.sql import functions as F
 #: A loop that has not settled after so many rounds raises; it never returns a partial answer.
 MAX_ROUNDS = 100
 
+#: By application: the folder chosen where the cluster names none.
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` where it is set.
 
     Unset on a local master (tests): a temporary folder. Unset on a cluster: below the warehouse.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if found:
         return found.rstrip("/")
     if spark.sparkContext.master.startswith("local["):
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
     else:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-    spark.conf.set("spark.checkpoint.dir", found)
+    _own[spark.sparkContext.applicationId] = found
     return found
 
 
