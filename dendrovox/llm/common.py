@@ -23,3 +23,8 @@ def ascii_lower(column):
     import string
 
     return F.translate(column, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def ddl(df: DataFrame, names: list[str], more: str) -> str:
+    """A schema of some columns of ``df`` and ``more`` columns."""
+    return ", ".join([*(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names), more])

@@ -160,3 +160,17 @@ def chunks(texts: list[str | None]) -> Iterable[list[str]]:
             some, size = [], 0
     if some:
         yield some
+
+
+class Memo(dict):
+    """``key -> make(key)``, remembering at most ``limit`` answers; a bound on memory only."""
+
+    def __init__(self, make: Callable, limit: int = 200_000):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
