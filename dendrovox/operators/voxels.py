@@ -106,18 +106,19 @@ def open_mask(mask: DataFrame, volumes: DataFrame, radius: float, keys=KEYS) ->
     return dilate(erode(mask, ball(radius), keys), volumes, keys=keys, offsets=ball(radius))
 
 
-def _open_by_volume(mask: DataFrame, radii: DataFrame, volumes: DataFrame, most: int, keys) -> DataFrame:
-    """Opening where each volume has its own ball radius (column ``r``, at most ``most``)."""
-    reach = F.col("dz") * F.col("dz") + F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx") <= F.col("r") * F.col("r")
-    size = F.lit(0)
-    for o in ball(most):
-        size = size + F.when(F.col("r") * F.col("r") >= sum(c * c for c in o), 1).otherwise(0)
-    wide = shifted(mask.join(radii, list(keys)), ball(most), [*keys, "r"]).where(reach)
-    eroded = wide.groupBy(*_place(keys), "r").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = radii.withColumn("_size", size).select(*keys, "_size")
-    eroded = eroded.join(sizes, list(keys)).where("_n = _size").select(*_place(keys), "r")
-    grown = shifted(eroded, ball(most), [*keys, "r"]).where(reach).select(*_place(keys)).distinct()
-    return inside(grown, volumes, keys)
+def _open_by_volume(mask: DataFrame, radii: DataFrame, volumes: DataFrame, most: float, keys) -> DataFrame:
+    """Opening where each volume has its own ball radius (column ``r``, at most ``most``), by two distance transforms.
+
+    A voxel survives the erosion if no background, nor the layer around the volume, is within the radius; the
+    dilation takes all within the radius of a survivor. So the cost does not grow with the ball's volume.
+    """
+    wide = volumes.select(*keys, *[(F.col(d) + 2).alias(d) for d in ("depth", "height", "width")])
+    moved = mask.select(*keys, *[(F.col(a) + 1).alias(a) for a in AXES])
+    outside = _grid(wide, keys).join(moved, _place(keys), "left_anti")
+    near = squared_distance(outside, wide, most, keys).join(radii, list(keys)).where(F.col("d2") <= F.col("r") * F.col("r"))
+    eroded = moved.join(near, _place(keys), "left_anti")
+    grown = squared_distance(eroded, wide, most, keys).join(radii, list(keys)).where(F.col("d2") <= F.col("r") * F.col("r"))
+    return grown.select(*keys, *[(F.col(a) - 1).alias(a) for a in AXES])
 
 
 def progressive_open(mask: DataFrame, volumes: DataFrame, keys=KEYS) -> DataFrame:
@@ -131,7 +132,7 @@ def progressive_open(mask: DataFrame, volumes: DataFrame, keys=KEYS) -> DataFram
     now = materialize(mask.select(*_place(keys)), "mask")
     for i in range(10):
         radii = sizes.select(*keys, (F.col("min_diameter") * (10 - i) / 10 / 2).cast("double").alias("r"))
-        opened = materialize(_open_by_volume(now, radii, volumes, int(most * (10 - i) / 10) + 1, keys), "mask")
+        opened = materialize(_open_by_volume(now, radii, volumes, most * (10 - i) / 10, keys), "mask")
         left = now.join(opened.select(*keys).distinct(), list(keys), "left_anti")
         after = materialize(opened.union(left), "mask")
         release(now)
@@ -209,12 +210,17 @@ def invert_distance_uint8(dist: DataFrame, volumes: DataFrame, value: str = "dis
     return s.select(*_place(keys), new.cast("int").alias("inverted"))
 
 
-def dense(vox: DataFrame, volumes: DataFrame, value: str = "intensity", keys=KEYS) -> DataFrame:
-    """A row for every voxel of the volumes, 0 where ``vox`` has none."""
+def _grid(volumes: DataFrame, keys) -> DataFrame:
+    """Every place of the volumes."""
     grid = volumes.select(*keys, *[F.col(d) for d in ("depth", "height", "width")])
     for a, d in zip(AXES, ("depth", "height", "width"), strict=True):
         grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.col(d) - 1)))
-    full = grid.select(*_place(keys)).join(vox.select(*_place(keys), value), _place(keys), "left")
+    return grid.select(*_place(keys))
+
+
+def dense(vox: DataFrame, volumes: DataFrame, value: str = "intensity", keys=KEYS) -> DataFrame:
+    """A row for every voxel of the volumes, 0 where ``vox`` has none."""
+    full = _grid(volumes, keys).join(vox.select(*_place(keys), value), _place(keys), "left")
     return full.withColumn(value, F.coalesce(F.col(value), F.lit(0).cast(vox.schema[value].dataType)))
 
 
@@ -248,18 +254,27 @@ def diff_mask(a: DataFrame, b: DataFrame, keys=KEYS) -> DataFrame:
     return x.where("_a is null or _b is null").select(*_place(keys), F.lit(255).alias("diff"))
 
 
-def edt(mask: DataFrame, volumes: DataFrame, keys=KEYS) -> DataFrame:
-    """Euclidean distance of every background voxel to the nearest foreground voxel of its volume.
+def squared_distance(mask: DataFrame, volumes: DataFrame, max_radius: float | None = None, keys=KEYS) -> DataFrame:
+    """``d2``: squared Euclidean distance of each voxel to the nearest foreground voxel, up to ``max_radius``.
 
-    Exact and separable: along each axis in turn, the least ``d2 + (i - j)^2`` within a line. A line is as long as
-    the volume is wide, so the joins are bounded by the grid times its extent.
+    Exact and separable: along each axis in turn, the least ``d2 + (i - j)^2`` within a line. A voxel spreads no
+    farther along its line than the radius or the volume, which bounds the rows.
     """
     now = mask.select(*_place(keys)).withColumn("d2", F.lit(0).cast("long"))
     for a, d in zip(reversed(AXES), ("width", "height", "depth"), strict=True):
-        spread = now.join(volumes.select(*keys, d), list(keys)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col(d) - 1)))
+        low, high = F.lit(0), F.col(d) - 1
+        if max_radius is not None:
+            low, high = F.greatest(low, F.col(a) - int(max_radius)), F.least(high, F.col(a) + int(max_radius))
+        spread = now.join(volumes.select(*keys, d), list(keys)).withColumn("_j", F.explode(F.sequence(low, high)))
         others = [b for b in AXES if b != a]
         now = spread.groupBy(*keys, *others, F.col("_j").alias(a)).agg(F.min(F.col("d2") + (F.col("_j") - F.col(a)) * (F.col("_j") - F.col(a))).alias("d2"))
-    return now.where("d2 > 0").select(*_place(keys), "d2", F.sqrt("d2").alias("dist"))
+    return (now if max_radius is None else now.where(F.col("d2") <= max_radius * max_radius)).select(*_place(keys), "d2")
+
+
+def edt(mask: DataFrame, volumes: DataFrame, max_radius: float | None = None, keys=KEYS) -> DataFrame:
+    """Euclidean distance of every background voxel to the nearest foreground voxel of its volume: ``d2, dist``."""
+    found = squared_distance(mask, volumes, max_radius, keys)
+    return found.where("d2 > 0").select(*_place(keys), "d2", F.sqrt("d2").alias("dist"))
 
 
 def gradient(field: DataFrame, value: str = "dist", keys=KEYS) -> DataFrame:
