@@ -48,7 +48,7 @@ def d03(spark, d):
 
 
 @register("d04_adaptive", f"""with recursive {comp_sql(M.format(150), 6)},
-s as (select volume_id, component_id, count(*) as n, row_number() over (partition by volume_id order by count(*) desc, component_id) as r from lab group by all),
+s as (select volume_id, component_id, count(*) as n, row_number() over (partition by volume_id order by count(*) desc, component_id) as r from lab group by volume_id, component_id),
 t as (select volume_id, min(5 * pow(2, k)) filter (5 * pow(2, k) > fourth) as least from (select volume_id, coalesce(max(n) filter (r = 4), 0) as fourth from s group by 1), range(40) q(k) group by 1)
 select volume_id, z, y, x, component_id from lab join s using (volume_id, component_id) join t using (volume_id) where n >= least""")
 def d04(spark, d):
