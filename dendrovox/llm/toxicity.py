@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,9 @@ from dendrovox.llm.pieces import Memo
 from dendrovox.plans.iterate import materialize
 
 THRESHOLD = 0.3
-MAX_FEATURES, MIN_DOCS, MIN_EVIDENCE = 1024, 2, 1.0
+MAX_FEATURES, MIN_DOCS, MIN_EVIDENCE = 512, 2, 1.0
+#: Documents that are a dense block at a time in the fit.
+FIT_ROWS = 1024
 RIDGE, COUNTERFACTUAL = 0.02, 10.0
 # Neutral names of groups, by kind; a term is swapped for the next of its kind.
 IDENTITY = (
@@ -88,10 +91,12 @@ def _featurise(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, schema)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float = RIDGE, penalty: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise mean log loss + ridge |w|^2 / 2 + penalty mean((swaps w)^2) / 2, by Newton steps."""
-    n, d = x.shape
-    x = np.hstack([x, np.ones((n, 1), x.dtype)])
+def fit_logistic(rows: tuple[np.ndarray, np.ndarray], y: np.ndarray, swaps: np.ndarray, ridge: float = RIDGE, penalty: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise mean log loss + ridge |w|^2 / 2 + penalty mean((swaps w)^2) / 2, by Newton steps.
+
+    ``rows``: offsets and feature numbers of the documents; only a block of them is dense at a time.
+    """
+    (offsets, features), n, d = rows, len(y), swaps.shape[1]
     fixed = np.zeros((d + 1, d + 1))
     fixed[:d, :d] = np.eye(d) * ridge
     if len(swaps):
@@ -99,16 +104,30 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float =
     w = np.zeros(d + 1)
     w[d] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) / n + fixed @ w
-        curve = (x * (np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x / n + fixed
-        step = np.linalg.solve(curve + 1e-9 * np.eye(d + 1), gradient)
+        gradient, curve = fixed @ w, fixed + 1e-9 * np.eye(d + 1)
+        for a in range(0, n, FIT_ROWS):
+            at = offsets[a : a + FIT_ROWS + 1]
+            x = np.zeros((len(at) - 1, d + 1))
+            x[:, d] = 1
+            x[np.repeat(np.arange(len(at) - 1), np.diff(at)), features[at[0] : at[-1]]] = 1
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient += x.T @ (p - y[a : a + FIT_ROWS]) / n
+            curve += (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x / n
+        step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w[:d], float(w[d])
 
 
+def _numbers(column: pa.ChunkedArray, kept: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and feature numbers of a column of lists of kept features."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.append(0, np.cumsum(sizes)), pc.index_in(lists.flatten(), kept).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict:
     """``weights`` by feature and ``intercept``. Never reads a held-out row's label."""
     chosen = materialize(training_labels(labels, "toxic", max_labelled), "labelled")
@@ -124,21 +143,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     counted = whole.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("p"))
     yes, no = F.col("p") + 0.5, F.col("df") - F.col("p") + 0.5
     evidence = F.log(yes / (pos + 1)) - F.log(no / (n - pos + 1)) - 1.64 * F.sqrt(1 / yes + 1 / no)
-    best = counted.where(F.col("df") >= MIN_DOCS).select("f", evidence.alias("e")).where(F.col("e") >= MIN_EVIDENCE).orderBy(F.desc("e"), "f").limit(MAX_FEATURES)
-    kept = {f: k for k, f in enumerate(dict.fromkeys([*(r["f"] for r in best.collect()), *named]))}
-    wanted = F.array(*map(F.lit, kept))
-    sample = rows.select("y", *[F.array_intersect(c, wanted).alias(c) for c in ("features", "gone", "new")]).collect()  # bounded
-    plain = [r for r in sample if r["features"] is not None]
-    x = np.zeros((len(plain), len(kept)), np.float32)
-    for k, r in enumerate(plain):
-        x[k, [kept[f] for f in r["features"]]] = 1
-    pairs = [r for r in sample if r["gone"] is not None]
-    swaps = np.zeros((len(pairs), len(kept)), np.float32)
-    for k, r in enumerate(pairs):
-        swaps[k, [kept[f] for f in r["gone"]]] = -1
-        swaps[k, [kept[f] for f in r["new"]]] = 1
-    w, b = fit_logistic(x, np.array([r["y"] for r in plain], float), swaps)
-    return {"weights": {f: float(w[k]) for f, k in kept.items() if abs(w[k]) > 1e-9}, "intercept": b, "share": pos / n}
+    best = counted.where(F.col("df") >= MIN_DOCS).select("f", evidence.alias("e")).where(F.col("e") >= MIN_EVIDENCE).orderBy(F.desc("e"), "f").limit(MAX_FEATURES).select("f")
+    met = whole.select(F.explode(F.array_intersect("features", F.array(*map(F.lit, named)))).alias("f")).distinct()
+    swapped = rows.where("gone is not null").select(F.explode(F.concat("gone", "new")).alias("f")).where(F.col("f").isin(named)).distinct()
+    names = [r["f"] for r in best.union(met.union(swapped).distinct()).distinct().orderBy("f").collect()]  # bounded
+    if not names:
+        return {"weights": {}, "intercept": None, "share": pos / n}
+    wanted, kept = F.array(*map(F.lit, names)), pa.array(names)
+    cut = rows.select("y", *[F.array_intersect(c, wanted).alias(c) for c in ("features", "gone", "new")])
+    plain = cut.where("features is not null").select("y", "features").toArrow()  # bounded by max_labelled
+    pairs = cut.where("gone is not null").select("gone", "new").toArrow()
+    swaps = np.zeros((pairs.num_rows, len(names)), np.float32)
+    if pairs.num_rows:
+        for column, sign in (("gone", -1), ("new", 1)):
+            offsets, features = _numbers(pairs[column], kept)
+            swaps[np.repeat(np.arange(pairs.num_rows), np.diff(offsets)), features] = sign
+    w, b = fit_logistic(_numbers(plain["features"], kept), plain["y"].to_numpy().astype(float), swaps)
+    return {"weights": {f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-9}, "intercept": b, "share": pos / n}
 
 
 def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
