@@ -33,7 +33,8 @@ THRESHOLD = 0.3
 MAX_FEATURES, MIN_DOCS, MIN_EVIDENCE = 512, 2, 1.0
 #: Documents that are a dense block at a time in the fit.
 FIT_ROWS = 1024
-RIDGE, COUNTERFACTUAL = 0.02, 10.0
+#: The ridge is for the summed loss, so it weighs less the more documents there are.
+RIDGE, COUNTERFACTUAL = 0.3, 10.0
 # Neutral names of groups, by kind; a term is swapped for the next of its kind.
 IDENTITY = (
     ("women", "men", "girls", "boys", "mothers", "fathers"),
@@ -92,13 +93,13 @@ def _featurise(labelled: DataFrame) -> DataFrame:
 
 
 def fit_logistic(rows: tuple[np.ndarray, np.ndarray], y: np.ndarray, swaps: np.ndarray, ridge: float = RIDGE, penalty: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise mean log loss + ridge |w|^2 / 2 + penalty mean((swaps w)^2) / 2, by Newton steps.
+    """Weights and intercept that minimise mean log loss + ridge / n |w|^2 / 2 + penalty mean((swaps w)^2) / 2, by Newton steps.
 
     ``rows``: offsets and feature numbers of the documents; only a block of them is dense at a time.
     """
     (offsets, features), n, d = rows, len(y), swaps.shape[1]
     fixed = np.zeros((d + 1, d + 1))
-    fixed[:d, :d] = np.eye(d) * ridge
+    fixed[:d, :d] = np.eye(d) * ridge / n
     if len(swaps):
         fixed[:d, :d] += penalty * (swaps.T @ swaps) / len(swaps)
     w = np.zeros(d + 1)
