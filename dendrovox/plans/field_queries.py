@@ -268,11 +268,11 @@ def g10(spark, d):
 SINGLE = "select volume_id, z, y, x from lab where volume_id in (select volume_id from lab group by 1 having count(distinct component_id) = 1)"
 
 
-@register("g11_batch_predecessor", f"with recursive {comp_sql(M.format(60), 26)}, {geo_sql(SINGLE, 26, 'select volume_id, k from f_source where volume_id in (select volume_id from lab group by 1 having count(distinct component_id) = 1)')}, {pred_sql()} select volume_id, volume_id % 2 as batch_idx, 0 as channel_idx, z, y, x, pred_code from pre")
+@register("g11_batch_predecessor", f"with recursive {comp_sql(M.format(60) + ' and z < 4', 26)}, {geo_sql(SINGLE, 26, 'select volume_id, k from f_source where volume_id in (select volume_id from lab group by 1 having count(distinct component_id) = 1)')}, {pred_sql()} select volume_id, volume_id % 2 as batch_idx, 0 as channel_idx, z, y, x, pred_code from pre")
 def g11(spark, d):
     keyed = lambda df: df.withColumn("batch_idx", F.col("volume_id") % 2).withColumn("channel_idx", F.lit(0))
     keys = ("volume_id", "batch_idx", "channel_idx")
-    return G.batch_predecessor(keyed(mask(spark, d, 60)), keyed(centers_as_places(spark, d)), dims(spark, d), keys).select(*keys, *AXES, "pred_code")
+    return G.batch_predecessor(keyed(mask(spark, d, 60).where('z < 4')), keyed(centers_as_places(spark, d)), dims(spark, d), keys).select(*keys, *AXES, "pred_code")
 
 
 @register("g12_volume_predecessors")
