@@ -96,7 +96,7 @@ bg_d(v, k, dist) using key (v, k) as (select volume_id, k, cast(0 as double) fro
 bg as (select n.volume_id, n.z, n.y, n.x, d.dist from bg_n n join bg_d d on n.volume_id = d.v and n.k = d.k)"""
 
 
-@register("d08_distance_to_background", f"with recursive {bg_sql(M.format(60))} select volume_id, z, y, x, round(dist, 6) as dist from bg")
+@register("d08_distance_to_background", f"with recursive {bg_sql(M.format(60))} select volume_id, z, y, x, round(dist, 6) as dist from bg", slow=True)
 def d08(spark, d):
     return D.distance_to_background(mask(spark, d, 60), dims(spark, d)).withColumn("dist", r6("dist"))
 
@@ -114,7 +114,7 @@ def d10(spark, d):
 CORE = "select volume_id, z, y, x from bg join (select volume_id, max(dist) as top from bg group by 1) using (volume_id) where dist > 0.95 * top + 1e-9"
 
 
-@register("d11_simple_soma_center", f"with recursive {bg_sql(M.format(60))}, {comp_sql(CORE, 26)} select volume_id, {MEAN} from lab join {LARGEST.format('lab')} using (volume_id, component_id) group by 1")
+@register("d11_simple_soma_center", f"with recursive {bg_sql(M.format(60))}, {comp_sql(CORE, 26)} select volume_id, {MEAN} from lab join {LARGEST.format('lab')} using (volume_id, component_id) group by 1", slow=True)
 def d11(spark, d):
     return rounded(D.simple_soma_center(mask(spark, d, 60), dims(spark, d)), ["cz", "cy", "cx"])
 
@@ -268,11 +268,11 @@ def g10(spark, d):
 SINGLE = "select volume_id, z, y, x from lab where volume_id in (select volume_id from lab group by 1 having count(distinct component_id) = 1)"
 
 
-@register("g11_batch_predecessor", f"with recursive {comp_sql(M.format(60) + ' and z < 4', 26)}, {geo_sql(SINGLE, 26, 'select volume_id, k from f_source where volume_id in (select volume_id from lab group by 1 having count(distinct component_id) = 1)')}, {pred_sql()} select volume_id, volume_id % 2 as batch_idx, 0 as channel_idx, z, y, x, pred_code from pre")
+@register("g11_batch_predecessor", f"with recursive {comp_sql(M.format(60), 26)}, {geo_sql(SINGLE, 26, 'select volume_id, k from f_source where volume_id in (select volume_id from lab group by 1 having count(distinct component_id) = 1)')}, {pred_sql()} select volume_id, volume_id % 2 as batch_idx, 0 as channel_idx, z, y, x, pred_code from pre", slow=True)
 def g11(spark, d):
     keyed = lambda df: df.withColumn("batch_idx", F.col("volume_id") % 2).withColumn("channel_idx", F.lit(0))
     keys = ("volume_id", "batch_idx", "channel_idx")
-    return G.batch_predecessor(keyed(mask(spark, d, 60).where('z < 4')), keyed(centers_as_places(spark, d)), dims(spark, d), keys).select(*keys, *AXES, "pred_code")
+    return G.batch_predecessor(keyed(mask(spark, d, 60)), keyed(centers_as_places(spark, d)), dims(spark, d), keys).select(*keys, *AXES, "pred_code")
 
 
 @register("g12_volume_predecessors")
@@ -327,7 +327,7 @@ def pairs(spark, d):
 @register("l02_path_loss", f"""with recursive {comp_sql(SEG, 26)}, {geo_sql(M.format(200))}, {pred_sql()}, {drawn_sql(MISSED, 10)}, {trace_sql()}, {WALK},
 per as (select volume_id, path_id, (sum(greatest(0.5 - seg, 0)) + 1e-6) * (sum((1 - seg) * from_break) + 1e-6) / (0.5 * count(*) * count(*)) as part from tm group by 1, 2),
 los as (select volume_id, sum(part) as loss from per group by 1)
-select v.volume_id, round(coalesce(case when s.k > 0 then loss end, 0), 6) as loss from f_volume v left join los using (volume_id) left join f_source s using (volume_id)""")
+select v.volume_id, round(coalesce(case when s.k > 0 then loss end, 0), 6) as loss from f_volume v left join los using (volume_id) left join f_source s using (volume_id)""", slow=True)
 def l02(spark, d):
     loss = L.path_loss(pairs(spark, d), pred(spark, d), centers_as_places(spark, d), dims(spark, d), max_density=1.0)
     return loss.withColumn("loss", r6("loss"))

@@ -12,13 +12,16 @@ from dendrovox.plans.iterate import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+SLOW_TWINS: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, slow: bool = False):
+    """``slow``: the twin takes too long on whole tables; tests hold the query against it on a small fixture."""
+
     def put(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = with_fixtures(sql)
+            (SLOW_TWINS if slow else ORACLES)[name] = with_fixtures(sql)
         return f
 
     return put
