@@ -62,7 +62,7 @@ def moved_sql(src: str, offsets) -> str:
     return f"select distinct volume_id, z + dz as z, y + dy as y, x + dx as x from ({src}) m, {offsets_sql(offsets)}"
 
 
-@register("s02_read_voxels", "select volume_id, count(*) as n, sum(intensity) as total from f_voxel group by volume_id")
+@register("s02_read_voxels", "select volume_id, count(*) as n, cast(sum(intensity) as bigint) as total from f_voxel group by volume_id")
 def s02(spark: SparkSession, d: str) -> DataFrame:
     from dendrovox.plans.iterate import new_path
     from dendrovox.sources.files import read_voxels, write_voxels
