@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +32,14 @@ def ascii_lower(column):
 def ddl(df: DataFrame, names: list[str], more: str) -> str:
     """A schema of some columns of ``df`` and ``more`` columns."""
     return ", ".join([*(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names), more])
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches, a few at a time; at the end the worker gives its free memory back, as it lives on."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass

@@ -130,9 +130,8 @@ class PieceTable:
             old = len(self.offset) - 1
             self.offset = np.append(self.offset, self.offset[-1] + np.cumsum(sizes))
             self.flat = np.append(self.flat, np.fromiter((i for x in made for i in x), np.uint32, int(sizes.sum())))
-            keys, slots = np.append(self.keys, distinct[fresh]), np.append(self.slot, old + np.arange(len(fresh)))
-            order = np.argsort(keys)
-            self.keys, self.slot = keys[order], slots[order]
+            at = np.searchsorted(self.keys, distinct[fresh])  # both are sorted
+            self.keys, self.slot = np.insert(self.keys, at, distinct[fresh]), np.insert(self.slot, at, old + np.arange(len(fresh)))
             slot, _ = self._find(distinct)
         slot = slot[back]
         sizes = self.offset[slot + 1] - self.offset[slot]

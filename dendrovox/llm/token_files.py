@@ -16,8 +16,10 @@ among equals; an empty table gives an empty directory of the same schema; other
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -26,14 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dendrovox.llm.common import table
+from dendrovox.llm.common import slices, table
 from dendrovox.llm.pieces import PieceTable
 from dendrovox.plans.iterate import new_path
 
 TOKENIZER, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
 #: Documents in a file, about.
-DOCS_PER_FILE = 8192
+DOCS_PER_FILE = 4096
 MAX_FILES = 10_000
+#: Pieces that the tokenizer gets at once, and that a task remembers: bounds on memory only.
+AT_ONCE, TABLE = 2_000, 500_000
 SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens int, ids array<int>"
 OPTIONS = {
     "parquet.writer.version": "v2",
@@ -47,12 +51,19 @@ OPTIONS = {
 }
 
 
+@lru_cache(1)
 def tokenizer_table(path: str) -> PieceTable:
-    """Encodes with a byte-level BPE file of the ``tokenizers`` library."""
+    """Encodes with a byte-level BPE file of the ``tokenizers`` library. A Python worker keeps it from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; its threads cost memory
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    return PieceTable(lambda pieces: [e.ids for e in tok.encode_batch_fast(pieces, add_special_tokens=False)])
+
+    def encode(pieces: list[str]) -> Iterator[list[int]]:
+        for a in range(0, len(pieces), AT_ONCE):
+            yield from [e.ids for e in tok.encode_batch_fast(pieces[a : a + AT_ONCE], add_special_tokens=False)]
+
+    return PieceTable(encode, TABLE)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, docs_per_file: int = DOCS_PER_FILE) -> DataFrame:
@@ -67,18 +78,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, shard, start = tokenizer_table(tokenizer), TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                each = [np.append(ids, end_id).astype(np.int32) for ids, _, _ in pieces.documents(b["text"].to_pylist())]
-                sizes = np.fromiter(map(len, each), np.int64, len(each))
-                ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(each)))
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"], pa.array(np.full(len(each), shard, np.int32)), pa.array(start + ends - sizes), pa.array(sizes.astype(np.int32)), ids],
-                    ["doc_id", "shard", "start_in_shard", "n_tokens", "ids"],
-                )
-                start += int(ends[-1])
+        for b in slices(batches):
+            each = [np.append(ids, end_id).astype(np.int32) for ids, _, _ in pieces.documents(b["text"].to_pylist())]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            ends = np.cumsum(sizes)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(each)))
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], pa.array(np.full(len(each), shard, np.int32)), pa.array(start + ends - sizes), pa.array(sizes.astype(np.int32)), ids],
+                ["doc_id", "shard", "start_in_shard", "n_tokens", "ids"],
+            )
+            start += int(ends[-1])
 
     dealt = docs.select("doc_id", "text").repartitionById(files, place.cast("int")).sortWithinPartitions("doc_id")
     dealt.mapInArrow(run, SCHEMA).write.options(**OPTIONS).parquet(path)
@@ -101,7 +110,7 @@ def ids_checksum(files: DataFrame) -> DataFrame:
     """``doc_id, shard, start_in_shard, n_tokens, ids_crc32`` (of little-endian unsigned 32-bit ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             offsets, flat = b["ids"].offsets.to_numpy(), b["ids"].values.to_numpy(zero_copy_only=False).astype("<u4")
             crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", "shard", "start_in_shard", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "shard", "start_in_shard", "n_tokens", "ids_crc32"])
