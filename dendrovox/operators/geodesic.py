@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendrovox.functions.grid import AXES, KEYS, decode_neighbor, encode_neighbor, neighbours, shifted
-from dendrovox.plans.iterate import MAX_ROUNDS, materialize, release
+from dendrovox.plans.iterate import materialize, release
 
 #: Voxels along a tile's side.
 TILE = 32
+#: Tiles that a shortest path may cross; more raises.
+MAX_TILES = 10_000
 STEPS = ("n_face", "n_edge", "n_corner")
 TILES = ("tz", "ty", "tx")
 
@@ -76,7 +78,7 @@ def geodesic_distance(mask: DataFrame, sources: DataFrame, connectivity: int = 2
     run = lambda pdf: settle(pdf, offsets, z_weight)
     now = materialize(rows.groupBy(*group).applyInPandas(run, schema), "field")
     news = now.where("changed or dist = 0")
-    for _ in range(MAX_ROUNDS):
+    for _ in range(MAX_TILES):
         border = materialize(_border(news, columns), "border")
         if border.isEmpty():
             break
@@ -89,7 +91,7 @@ def geodesic_distance(mask: DataFrame, sources: DataFrame, connectivity: int = 2
         now = after
         news = now.where("changed")
     else:
-        raise RuntimeError(f"distances did not settle in {MAX_ROUNDS} rounds")
+        raise RuntimeError(f"distances did not settle in {MAX_TILES} rounds")
     return now.where(F.col("dist") < math.inf).select(*_place(keys), *STEPS, "dist")
 
 
