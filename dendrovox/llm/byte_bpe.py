@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrovox.llm.common import ddl, table
+from dendrovox.llm.common import ddl, slices, table
 from dendrovox.llm.pieces import PieceTable, chunks, split
 from dendrovox.plans.iterate import materialize
 
@@ -110,7 +110,7 @@ def distinct_pieces(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.empty(0, np.uint64)
-        for b in batches:
+        for b in slices(batches):
             for some in chunks(b["text"].to_pylist()):
                 joined, first, end, hashed, _ = split(some)
                 new, at = np.unique(hashed, return_index=True)
@@ -169,13 +169,11 @@ def encode_documents(docs: DataFrame, ranks_path: str = RANKS, max_broadcast: in
                     yield merge(piece, ranks)
 
         pieces = PieceTable(look_up)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                b = whole.slice(start, 1024)
-                each = [ids for ids, _, _ in pieces.documents(b["text"].to_pylist())]
-                ends = np.cumsum([0, *map(len, each)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b["doc_id"], ids], ["doc_id", "ids"])
+        for b in slices(batches):
+            each = [ids for ids, _, _ in pieces.documents(b["text"].to_pylist())]
+            ends = np.cumsum([0, *map(len, each)])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], ids], ["doc_id", "ids"])
 
     schema = ddl(docs, ["doc_id"], "ids array<int>")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -186,7 +184,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str = RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = {i: p for p, i in read_ranks(ranks_path).items()}.__getitem__
-        for b in batches:
+        for b in slices(batches):
             offsets, flat = b["ids"].offsets.to_numpy(), b["ids"].values.to_numpy(zero_copy_only=False)
             texts = [b"".join(map(piece, flat[i:j].tolist())) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["ids"], pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])

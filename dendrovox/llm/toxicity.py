@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrovox.llm.common import ddl, small_side, table
+from dendrovox.llm.common import ddl, slices, small_side, table
 from dendrovox.llm.labelled import MAX_LABELLED, held_out, training_labels
 from dendrovox.llm.pieces import Memo
 from dendrovox.plans.iterate import materialize
@@ -77,7 +77,7 @@ def _featurise(labelled: DataFrame) -> DataFrame:
     """``doc_id, y, features`` and, for sentences that name a group, ``gone, new``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 128):
             rows = {"doc_id": [], "y": [], "features": [], "gone": [], "new": []}
             for i, y, t in zip(b["doc_id"].to_pylist(), b["y"].to_pylist(), b["text"].to_pylist(), strict=True):
                 plain = sorted({f for w in document_words(t) for f in word_features(w)})
@@ -168,8 +168,8 @@ def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model["weights"]
-        known = Memo(lambda w: tuple(f for f in word_features(w) if f in weights))
-        for b in batches:
+        known = Memo(lambda w: tuple(f for f in word_features(w) if f in weights), 100_000)
+        for b in slices(batches):
             out = []
             for t in b["text"].to_pylist():
                 if model["intercept"] is None:
