@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -162,6 +163,40 @@ def test_banded_edit_distance():
             assert line_dedup.within_edits(a, b, most) == (distance(a, b) <= most), (a, b, most)
 
 
+def several_edits():
+    """Lines of 40 to 160 characters, and each of them with one to seven edits; some with long parts in common."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7)))
+    texts = []
+    for n in (39, 41, 60, 79, 81, 99, 101, 124, 126, 160):
+        base = " ".join(word() for _ in range(80))[:n]
+        texts.append(base)
+        for e in range(1, 8):
+            for _ in range(3):
+                line = base
+                for _ in range(e):
+                    i, kind = rnd.randrange(len(line)), rnd.randrange(3)
+                    line = line[:i] + rnd.choice("XYZ") * (kind > 0) + line[i + (kind < 2) :]
+                texts.append(line)
+        texts += [base[: n // 2] + " ".join(word() for _ in range(40))[: n - n // 2] for _ in range(6)]
+    rnd.shuffle(texts)
+    return [(200 + k, "\n".join(texts[k::8]), "en", "a", 1) for k in range(8)]
+
+
+@pytest.mark.parametrize("bucket", [3, 64])
+def test_line_dedup_links_lines_of_several_edits(spark, bucket):
+    rows = several_edits()
+    texts = sorted({x for _, t, *_ in rows for x in t.split("\n")})
+    want = {(a, b) for a in texts for b in texts if a < b and line_dedup.within_edits(a, b, min(5, min(len(a), len(b)) // 20))}
+    assert {distance(a, b) for a, b in sorted(want)[::5]} == {1, 2, 3, 4, 5}
+    index = line_dedup.index_lines(documents(spark, rows)).localCheckpoint()
+    name = {r["id"]: r["line"] for r in index.collect()}
+    found = [tuple(sorted((name[r["a"]], name[r["b"]]))) for r in line_dedup.edit_links(index, bucket).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    got = line_dedup.dedup_lines(documents(spark, rows), bucket).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == naive_lines(rows)
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
     assert line_dedup.dedup_lines(documents(spark, corpus()[:3])).count() == 3
