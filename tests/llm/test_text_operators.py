@@ -197,6 +197,12 @@ def test_line_dedup_links_lines_of_several_edits(spark, bucket):
     assert {r["doc_id"]: r["text"] for r in got} == naive_lines(rows)
 
 
+def test_line_dedup_removes_short_repeats(spark):
+    rows = [(1, "Menu\n\nRead more\nx", "en", "a", 17), (2, "Read more\n\nMenu.\nx\nx", "en", "a", 21)]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 17), 2: ("\nMenu.", 6)}
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
     assert line_dedup.dedup_lines(documents(spark, corpus()[:3])).count() == 3
