@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dendrovox.llm.common import slices, table
+from dendrovox.llm.common import ddl, slices, table
 from dendrovox.plans.iterate import connected_components, materialize
 
 SHINGLE, RADIUS, SHARD = 4, 4, 4096
@@ -184,6 +184,75 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
 
 
+#: What the pipeline's stage calls near-duplicates: at least so similar (Jaccard) sets of shingles of so many words.
+SIMILAR, WORDS = 0.8, 5
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order; a text of fewer words is one shingle."""
+    import xxhash
+
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    some = (b" ".join(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in some), np.uint64)).view(np.int64)
+
+
+def _sets(docs: DataFrame, words: int, similar: float | None) -> DataFrame:
+    """``doc_id, h, g, size, hashes``: 128 bits that name the set, and its first hashes that ``similar`` sets must share (None: all)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in slices(batches):
+            found = [shingle_set(t.as_py(), words) for t in b["text"]]
+            names = [np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64) for x in found]
+            size = [len(x) for x in found]
+            least = [n if similar is None else n - int(np.ceil(similar * n - 1e-9)) + 1 for n in size]
+            first = [x[:k].tolist() for x, k in zip(found, least, strict=True)]
+            columns = [pa.array([int(x[k]) for x in names], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *columns, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "h", "g", "size", "hashes"])
+
+    schema = ddl(docs, ["doc_id"], "h long, g long, size int, hashes array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, schema).select("doc_id", F.struct("h", "g").alias("id"), "size", "hashes")
+
+
+def similar_pairs(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, id`` of each row; all pairs ``a, b`` of ids of different sets that are similar).
+
+    Sets of n hashes that are similar share one of their n - similar * n + 1 smallest, so no pair is missed. A hash of
+    more than ``shard`` sets is paired in blocks. Candidates are verified by their whole sets.
+    """
+    each = materialize(_sets(docs, words, similar), "sets")
+    least = materialize(each.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("hashes").alias("hashes")), "distinct")
+    flat = least.select("id", "size", F.explode("hashes").alias("key"))
+    flat = flat.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / shard).cast("int"))
+    flat = materialize(flat.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "keys")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = flat.select("key", F.col("block").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("size").alias("s"))
+    two = flat.select("key", F.col("block").alias("j"), every.alias("i"), F.col("id").alias("b"), "size")
+    near = F.least("s", "size") >= F.greatest("s", "size") * similar - 1e-9
+    met = materialize(one.join(two, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "candidates")
+    need = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
+    need = materialize(least.join(need, "id", "left_semi").select("doc_id"), "need").distinct()
+    whole = _sets(docs.join(need.withColumnRenamed("doc_id", "_need"), F.col("doc_id").eqNullSafe(F.col("_need"))), words, None)
+    whole = materialize(whole.select("id", "hashes").dropDuplicates(["id"]), "whole")
+    named = met.join(whole.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return each.select("doc_id", "id"), materialize(named.where(both >= (F.size("x") + F.size("y") - both) * similar - 1e-9).select("a", "b"), "pairs")
+
+
+def drop_similar(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with one document of each group that similar shingle sets link, the one of the smallest doc_id; as ``drop_near_duplicates``."""
+    from dendrovox.llm.common import small_side
+
+    each, pairs = similar_pairs(docs, words, similar)
+    parts = connected_components(pairs).withColumnRenamed("node", "id")
+    named = each.join(parts, "id", "left").select("doc_id", F.coalesce("component", "id").alias("part"))
+    lows = materialize(named.groupBy("part").agg(F.min("doc_id").alias("low")), "lows")
+    gone = materialize(named.join(lows, "part").where("doc_id <> low").select("doc_id").distinct(), "gone")
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

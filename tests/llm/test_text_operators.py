@@ -114,6 +114,36 @@ def test_near_duplicates_keep_one_of_each_group(spark):
 # ---- 5
 
 
+def test_stage_drops_all_similar_documents(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    rows, k = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "two words", "en", "a", 9), (4, "Two  words", "en", "a", 10)], 10
+    for n in (6, 30, 120):
+        for _ in range(4):
+            base = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+            for edits in (0, 1, 2, 3, 5, 8):
+                words = list(base)
+                for i in rnd.sample(range(n), min(edits, n)):
+                    words[i] = f"v{rnd.randrange(10**6)}"
+                rows.append((k, " ".join(words), "en", "a", 1))
+                k += 1
+    rnd.shuffle(rows)
+    cut = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t, *_ in rows for w in [lower(t or "").split()]}
+    pairs = {(a, b) for a in cut for b in cut if a < b and 10 * len(cut[a] & cut[b]) >= 8 * len(cut[a] | cut[b])}
+    union = Union(list(cut))
+    for a, b in pairs:
+        union.join(a, b)
+    assert len(pairs) > 12
+    kept = corpus_pipeline.simhash_dedup(spark, documents(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d in cut if union.root(d) == d)
+    assert simhash.drop_similar(documents(spark, [])).count() == 0
+    each, found = simhash.similar_pairs(documents(spark, rows), shard=2)
+    name = {r["id"]: cut[r["doc_id"]] for r in each.collect()}
+    want = {frozenset(map(frozenset, (cut[a], cut[b]))) for a, b in pairs if cut[a] != cut[b]}
+    assert {frozenset(map(frozenset, (name[r["a"]], name[r["b"]]))) for r in found.collect()} == want
+
+
 def naive_lines(rows):
     occurrences = [(d, n, x) for d, t, *_ in rows if t is not None for n, x in enumerate(t.split("\n")) if len(x) >= line_dedup.MIN_CHARS]
     texts = sorted({o[2] for o in occurrences})
