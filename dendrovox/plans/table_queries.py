@@ -328,6 +328,15 @@ def s03(spark, d):
     return found.withColumn("tree_id", tree).drop("line")
 
 
+@register("s03_read_swc_all", "select tree_id, n, 0 as type, x, y, z, r, parent from f_node")
+def s03b(spark, d):
+    path = new_path(spark, "swc")
+    S.write_swc(nodes(spark, d), path)
+    found = S.read_swc(spark, f"{path}/*/*.txt")
+    tree = F.regexp_extract("tree_id", "tree_id=([0-9]+)", 1).cast("long")
+    return found.withColumn("tree_id", tree).drop("line")
+
+
 @register("s04_swc_lines", f"select tree_id, n, {LINE} as value from f_node")
 def s04(spark, d):
     return S.swc_lines(nodes(spark, d))
