@@ -194,23 +194,31 @@ def path_tree(mask: DataFrame, sources: DataFrame, connectivity: int = 6, keys=K
     return trace_paths(pred, starts, None, keys)
 
 
-def streamline(field: DataFrame, targets: DataFrame, sources: DataFrame, step: float = 0.5, tolerance: float = 1.0, max_steps: int = 200, keys=KEYS) -> DataFrame:
+def streamline(field: DataFrame, targets: DataFrame, sources: DataFrame, step: float = 0.5, tolerance: float = 1.0, max_steps: int | None = None, keys=KEYS) -> DataFrame:
     """Descent from ``targets`` (``path_id, z, y, x``) along a dense field's gradient, by unit-length steps times ``step``.
 
     The gradient is interpolated from the eight voxels around the head. A path ends within ``tolerance`` of its
-    volume's source, at a zero gradient, outside the grid or after ``max_steps``.
+    volume's source, at a zero gradient or outside the grid. ``ended`` is false for a path that has done none of these
+    after ``max_steps``; unless given, that is twice the field's largest distance by steps, and ten.
     """
     from dendrovox.operators.voxels import gradient
 
+    if max_steps is None:
+        far = field.where(~F.isnan(F.col("dist").cast("double")) & (F.col("dist") < float("inf"))).agg(F.max("dist")).first()[0]
+        max_steps = math.ceil(2 * max(float(far or 0), 0.0) / step) + 10
+
     slope = materialize(gradient(field, "dist", keys), "gradient")
     goal = sources.select(*keys, *[F.col(a).alias(f"s{a}") for a in AXES])
     heads = targets.select(*keys, "path_id", F.lit(0).alias("step"), *[F.col(a).cast("double").alias(a) for a in AXES])
     out = [materialize(heads, "heads")]
     corners = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
-    for _ in range(max_steps):
-        live = out[-1].join(goal, list(keys))
+
+    def live_heads(heads: DataFrame) -> DataFrame:
         d2 = sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in AXES), F.lit(0.0))
-        live = live.where(d2 > tolerance * tolerance)
+        return heads.join(goal, list(keys)).where(d2 > tolerance * tolerance)
+
+    for _ in range(max_steps):
+        live = live_heads(out[-1])
         each = live.withColumn("_c", F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(c, AXES, strict=True)]) for c in corners])))
         weight = F.lit(1.0)
         for a in AXES:
@@ -227,7 +235,10 @@ def streamline(field: DataFrame, targets: DataFrame, sources: DataFrame, step: f
     all_heads = out[0]
     for more in out[1:]:
         all_heads = all_heads.unionByName(more)
-    return all_heads
+    # only heads of the last step allowed can still be under way
+    cut = live_heads(out[max_steps]) if len(out) > max_steps else live_heads(out[-1]).limit(0)
+    cut = materialize(cut.select(*keys, "path_id").distinct().withColumn("_cut", F.lit(True)), "cut")
+    return all_heads.join(cut, [*keys, "path_id"], "left").withColumn("ended", F.col("_cut").isNull()).drop("_cut")
 
 
 def batch_predecessor(mask: DataFrame, sources: DataFrame, volumes: DataFrame, keys=("volume_id", "batch_idx", "channel_idx")) -> DataFrame:

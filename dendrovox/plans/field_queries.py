@@ -262,7 +262,7 @@ def g10(spark, d):
     f = field(spark, d, 60)
     full = materialize(V.dense(f, dims(spark, d), "dist"), "dense")
     starts = G.sample_points(f, 3).select("volume_id", "path_id", *AXES)
-    return G.streamline(full, starts, centers_as_places(spark, d), max_steps=30)
+    return G.streamline(full, starts, centers_as_places(spark, d))
 
 
 SINGLE = "select volume_id, z, y, x from lab where volume_id in (select volume_id from lab group by 1 having count(distinct component_id) = 1)"

@@ -127,6 +127,16 @@ def test_streamline_descends_to_the_source(spark):
     assert [r["x"] for r in heads] == [8.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.0]
 
 
+def test_streamline_ends_or_says_that_it_has_not(spark):
+    mask = mask_of(spark, [(0, 0, x) for x in range(32)])
+    field = V.dense(G.geodesic_distance(mask, mask_of(spark, [(0, 0, 0)])), dims_of(spark, 1, (1, 1, 32)), "dist")
+    target = spark.createDataFrame([(0, 1, 0, 0, 24)], "volume_id long, path_id int, z int, y int, x int")
+    heads = G.streamline(field, target, mask_of(spark, [(0, 0, 0)]), 4.0).collect()
+    assert min(r["x"] for r in heads) == 0.0 and len(heads) == 7 and all(r["ended"] for r in heads)
+    short = G.streamline(field, target, mask_of(spark, [(0, 0, 0)]), 1.0, max_steps=4).collect()
+    assert min(r["x"] for r in short) == 20.0 and not any(r["ended"] for r in short)
+
+
 def test_morphology_properties(spark):
     rng = np.random.default_rng(1)
     mask = mask_of(spark, [tuple(map(int, p)) for p in np.argwhere(rng.random((6, 8, 8)) < 0.8)])
