@@ -1,14 +1,14 @@
 """Operator 10: byte-level BPE by the ranks of a vocabulary file.
 
-Encoding merges each distinct piece of the corpus once, with Spark's higher-order functions: a piece is an
-array of byte strings (in hex), and a fold joins the pair of the lowest rank, again and again, looking ranks up in
-a literal map (cut into buckets by hash, as a map literal is searched from its start). The merged pieces form
-the corpus vocabulary; the tasks that encode documents look their pieces up in it. Decoding concatenates the
-binary pieces of the ids.
+Texts are split into blocks of about ``BLOCK`` characters. A block is one row: its distinct words (the pieces that are
+merged separately) as arrays of the ranks of their bytes, and each document as numbers of these words. Spark's
+higher-order functions do the rest in the stage of the scan, without a shuffle: a fold over each distinct word joins
+the pair of the lowest rank again and again, looking ranks up in a literal map; a document's ids are its words' ids,
+one after the other. Decoding looks the binary piece of each id up in a literal array and concatenates the pieces.
 
-The vocabulary is broadcast up to ``MAX_BROADCAST_WORDS`` pieces, those that most tasks met first. A piece beyond
-that bound, or longer than ``MAX_FOLD_BYTES`` (the fold is quadratic in it), is merged by the task that meets it,
-by the same ranks; so every text is encoded whole at any vocabulary size.
+The fold is quadratic in a word's bytes, so words over ``MAX_FOLD_BYTES`` (and those that are in the vocabulary as they are)
+enter it merged already, by the same ranks. No table of words is gathered anywhere: memory follows the block, and a
+text longer than a block is a block of its own.
 
 Cases: a null text is empty and has no ids; repeated rows give repeated results; an empty table gives no rows;
 other columns are ignored.
@@ -27,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrovox.llm.common import ddl, slices, table
-from dendrovox.llm.pieces import PieceTable, chunks, split
-from dendrovox.plans.iterate import materialize
+from dendrovox.llm.common import slices, table
+from dendrovox.llm.pieces import Numbers, chunks, split
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-BUCKETS = 8192
-MAX_FOLD_BYTES = 64
-MAX_BROADCAST_WORDS = 6_000_000
+#: Characters in a block, about: words are merged once a block.
+BLOCK = 24_000_000
+MAX_FOLD_BYTES = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,130 +65,168 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : i + size[i]]] for i in range(n) if size[i]]
 
 
-def rank_literal(ranks: dict[bytes, int], buckets: int = BUCKETS) -> F.Column:
-    """The rank map as a literal: an array of small maps from hex to rank, by hash of the key."""
-    import xxhash
-
-    out: list[dict[str, int]] = [{} for _ in range(buckets)]
-    for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        out[xxhash.xxh64_intdigest(key, 42) % buckets][key] = rank
-    return F.from_json(F.lit(json.dumps(out, separators=(",", ":"))), "array<map<string,int>>")
-
-
-def fold_merges(piece: F.Column, ranks: dict[bytes, int]) -> F.Column:
-    """The ids of a string column of pieces, by a fold of ranked merges over its bytes."""
-    known = rank_literal(ranks)
-
-    def rank(part):
-        return F.try_element_at(F.get(known, F.pmod(F.xxhash64(part), F.lit(BUCKETS)).cast("int")), part)
-
-    def let(value, then):
-        return F.get(F.transform(F.array(value), then), F.lit(0))
-
-    def joined(parts, k):
-        two = F.concat(F.get(parts, k - 1), F.get(parts, k))
-        return F.concat(F.slice(parts, F.lit(1), k - 1), F.array(two), F.slice(parts, k + 2, F.size(parts)))
+#: Odd, and small enough that no product in ``RankMap`` leaves 63 bits.
+_TURN = 2654435
+
+
+class RankMap:
+    """Rank of the concatenation of two pieces by their ranks, as a literal for Spark expressions.
+
+    Spark searches a map literal from its start, so the map is laid out as a perfect hash: a pair's first hash gives a
+    factor, and that the only place where the pair can be, with its rank.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bits = max(8, max(ranks.values()).bit_length())
+        self.bits += max(ranks.values()) == (1 << self.bits) - 1
+        if self.bits > 17:
+            raise ValueError("the vocabulary has more than 131,071 ranks")
+        self.none = (1 << self.bits) - 1
+        joined = [(ranks[p[:k]], ranks[p[k:]], r) for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks]
+        left, right, rank = np.array(joined, np.int64).reshape(-1, 3).T
+        pair = left << self.bits | right
+        self.size = 1 << max(8, (len(pair) * 5 // 4).bit_length())
+        while not self._fill(pair, rank):
+            self.size *= 2
+
+    def _fill(self, pair: np.ndarray, rank: np.ndarray) -> bool:
+        """Give each pair its place, groups of one first hash together, the largest first; whether that was possible."""
+        self.firsts = self.size // 2
+        cells, factors, taken = np.zeros(self.size, np.int64), np.zeros(self.firsts, np.int64), np.zeros(self.size, bool)
+        first = self._first(pair)
+        order = np.argsort(first, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(first[order])) + 1) if len(order) else []
+        for group in sorted(groups, key=len, reverse=True):
+            for factor in range(_TURN + 2, 120 * _TURN, 2 * _TURN):
+                place = self._place(pair[group], factor)
+                if not taken[place].any() and len(set(place.tolist())) == len(place):
+                    break
+            else:
+                return False
+            taken[place], factors[first[group[0]]] = True, factor
+            cells[place] = pair[group] << self.bits | rank[group]
+        self.cells, self.factors = cells.tolist(), factors.tolist()
+        return True
+
+    def _first(self, pair):
+        return (pair * _TURN >> 22) & (self.firsts - 1)
+
+    def _place(self, pair, factor):
+        return (pair * factor >> 18) & (self.size - 1)
+
+    def literals(self) -> tuple[F.Column, F.Column]:
+        return tuple(F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>") for x in (self.cells, self.factors))
+
+    def rank(self, cells, factors, pair) -> F.Column:
+        """The rank of a pair's concatenation; ``none`` if it has none or the pair is null."""
+        first = F.shiftright(pair * _TURN, 22).bitwiseAND(self.firsts - 1)
+        place = F.shiftright(pair * F.get(factors, first.cast("int")), 18).bitwiseAND(self.size - 1)
+        cell = F.get(cells, place.cast("int"))
+        return F.when(F.shiftright(cell, self.bits) == pair, cell.bitwiseAND(self.none)).otherwise(F.lit(self.none).cast("long"))
+
+
+def let(value, then) -> F.Column:
+    """``then(value)``, with the value evaluated once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def fold_merges(word, known: RankMap, cells, factors) -> F.Column:
+    """The ids of a word, by a fold of ranked merges.
+
+    An element of ``word`` and of the state is a part's id below the rank of its concatenation with the next part.
+    """
+    above = lambda x: F.shiftright(x, known.bits)
+    below = lambda x: x.bitwiseAND(known.none)
+    both = lambda a, b: F.shiftleft(a, known.bits).bitwiseOR(b)
 
     def step(state, _):
-        parts = state["parts"]
-        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: rank(F.concat(F.get(parts, i - 1), F.get(parts, i))))
-        place = let(pairs, lambda r: F.coalesce(F.array_position(r, F.array_min(r)), F.lit(0)).cast("int"))
-        new = let(place, lambda k: F.when(k > 0, F.struct(joined(parts, k).alias("parts"), F.lit(False).alias("over"))).otherwise(F.struct(parts.alias("parts"), F.lit(True).alias("over"))))
-        return F.when(state["over"] | (F.size(parts) < 2), state).otherwise(new)
-
-    spelt = F.hex(F.encode(piece, "UTF-8"))
-    singles = F.transform(F.sequence(F.lit(1), F.length(spelt) - 1, F.lit(2)), lambda i: F.substring(spelt, i, F.lit(2)))
-    start = F.struct(singles.alias("parts"), F.lit(False).alias("over"))
-    merged = F.aggregate(F.sequence(F.lit(1), (F.length(spelt) / 2).cast("int")), start, step, lambda s: F.transform(s["parts"], rank))
-    return let(rank(spelt), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
+        def merge_at(k):
+            """Parts k and k + 1 become one; the ranks of its pairs with the parts beside it are looked up."""
+            made = above(F.get(state, k))
+            pairs = F.array(F.when(k > 0, both(below(F.get(state, k - 1)), made)), both(made, below(F.get(state, k + 2))))
+
+            def put(beside):
+                new = lambda x, i: F.when((i > k) | (i < k - 1), x).when(i == k, both(F.get(beside, F.lit(1)), made)).otherwise(both(F.get(beside, F.lit(0)), below(x)))
+                return F.transform(F.filter(state, lambda _, i: i != k + 1), new)
+
+            return let(F.transform(pairs, lambda pair: known.rank(cells, factors, pair)), put)
+
+        lowest = above(F.array_min(state))
+        at = F.array_position(F.transform(state, above), lowest) - 1
+        return F.when(lowest == known.none, state).otherwise(let(at.cast("int"), merge_at))
+
+    merged = F.aggregate(F.sequence(F.lit(2), F.size(word)), word, step)
+    return F.transform(F.when(F.size(word) > 1, merged).otherwise(word), lambda x: below(x).cast("int"))
+
+
+def word_blocks(docs: DataFrame, ranks: dict[bytes, int], known: RankMap, block: int = BLOCK) -> DataFrame:
+    """``docs`` (``doc_id`` and the numbers of its words) and ``words`` (as ``fold_merges`` takes them) of each block of texts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    no_rank = known.none << known.bits  # workers do not need the map itself
+    beside = np.array([[ranks.get(bytes([a, b]), known.none) for b in range(256)] for a in range(256)], np.int64) << known.bits
+
+    def ranked(words: list[bytes]) -> pa.Array:
+        """Each word's bytes by their ids, below the rank of each with the next; those that need no fold as they end."""
+        done = {k: [ranks[w]] if w in ranks else merge(w, ranks) for k, w in enumerate(words) if w in ranks or len(w) > MAX_FOLD_BYTES}
+        raw = np.frombuffer(b"".join(w for k, w in enumerate(words) if k not in done), np.uint8)
+        sizes = np.fromiter((len(done[k]) if k in done else len(w) for k, w in enumerate(words)), np.int64, len(words))
+        folds = np.fromiter((k not in done for k in range(len(words))), bool, len(words))
+        pair = np.append(beside[raw[:-1], raw[1:]], 0) if len(raw) else np.empty(0, np.int64)
+        pair[np.cumsum(sizes[folds]) - 1] = no_rank
+        out = np.empty(int(sizes.sum()), np.int64)
+        at = np.repeat(folds, sizes)
+        out[at] = pair | byte[raw]
+        out[~at] = np.array([i for k in sorted(done) for i in done[k]], np.int64) | no_rank
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(out))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, numbers, chars = [], [], Numbers(), 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # numbers of words, and how many before each text
 
-def distinct_pieces(docs: DataFrame) -> DataFrame:
-    """``piece, tasks``: each piece of the texts and in how many tasks it was met."""
+        def close() -> pa.RecordBatch:
+            ends = np.cumsum(np.concatenate([[0], *(np.diff(n) for _, n in held)]))
+            each = pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x for x, _ in held]).astype(np.int32)))], ["doc_id", "words"])
+            some = pa.concat_arrays(words)
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(each)], each), pa.ListArray.from_arrays([0, len(some)], some)], ["docs", "words"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = np.empty(0, np.uint64)
         for b in slices(batches):
+            at = 0
             for some in chunks(b["text"].to_pylist()):
-                joined, first, end, hashed, _ = split(some)
-                new, at = np.unique(hashed, return_index=True)
-                fresh = ~np.isin(new, met, assume_unique=True, kind="sort")
-                met = np.concatenate([met, new[fresh]]) if len(met) < 500_000 else new
-                yield pa.RecordBatch.from_arrays([pa.array([joined[first[i] : end[i]] for i in at[fresh]], pa.string())], ["piece"])
-
-    return docs.select("text").mapInArrow(run, "piece string").groupBy("piece").agg(F.count(F.lit(1)).alias("tasks"))
-
-
-def build_vocabulary(docs: DataFrame, ranks_path: str = RANKS) -> DataFrame:
-    """``piece, tasks, ids`` of the distinct pieces of at most ``MAX_FOLD_BYTES`` bytes."""
-    pieces = materialize(distinct_pieces(docs).where(F.octet_length("piece") <= MAX_FOLD_BYTES), "pieces")
-    return materialize(pieces.select("piece", "tasks", fold_merges(F.col("piece"), read_ranks(ranks_path)).alias("ids")), "vocabulary")
-
-
-def _broadcast(vocabulary: DataFrame, limit: int):
-    """The most common ``limit`` pieces at most, as arrays sorted by XXH64 (seed 42) of the piece."""
-    counts = sorted(vocabulary.groupBy("tasks").count().collect(), reverse=True)  # one row for each number of tasks
-    least, total = 1 << 62, 0
-    for tasks, rows in counts:
-        if total + rows > limit:
-            break
-        least, total = tasks, total + rows
-    kept = vocabulary.where(F.col("tasks") >= least).select(F.xxhash64("piece").alias("h"), "ids").toArrow().combine_chunks()
-    if not kept.num_rows:
-        return np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.int32)
-    ids = kept["ids"].combine_chunks() if kept["ids"].num_chunks != 1 else kept["ids"].chunk(0)
-    keys = kept["h"].to_numpy().view(np.uint64)
-    order = np.argsort(keys, kind="stable")
-    ids, keys = ids.take(pa.array(order)), keys[order]
-    if (keys[1:] == keys[:-1]).any():
-        raise ValueError("two pieces share a 64-bit hash")
-    return keys, ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype(np.int32)
-
-
-def encode_documents(docs: DataFrame, ranks_path: str = RANKS, max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
+                joined, code, first, end, hashed, before = split(some)
+                found, new = numbers.number(joined, code, first, end, hashed)
+                words.append(ranked([joined[first[i] : end[i]].encode() for i in new.tolist()]))
+                ids.append(b["doc_id"].slice(at, len(some)))
+                held.append((found, before))
+                at, chars = at + len(some), chars + len(joined)
+                if chars >= block:
+                    yield close()
+                    ids, words, numbers, chars, held = [], [], Numbers(), 0, []
+        if ids:
+            yield close()
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"docs array<struct<doc_id:{kind},words:array<int>>>, words array<array<bigint>>")
+
+
+def encode_documents(docs: DataFrame, ranks_path: str = RANKS, block: int = BLOCK) -> DataFrame:
     """``doc_id, ids`` of each row of ``docs`` (``doc_id, text``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_broadcast(build_vocabulary(docs, ranks_path), max_broadcast))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        keys, offsets, flat = shared.value
-        ranks: dict[bytes, int] = {}
-
-        def look_up(pieces: list[str]) -> Iterator[list[int]]:
-            spelt = [p.encode() for p in pieces]
-            wanted = np.array([xxhash.xxh64_intdigest(p, 42) for p in spelt], np.uint64)
-            at = np.searchsorted(keys, wanted)
-            for piece, k, h in zip(spelt, at.tolist(), wanted, strict=True):
-                if k < len(keys) and keys[k] == h and len(piece) <= MAX_FOLD_BYTES:
-                    yield flat[offsets[k] : offsets[k + 1]].tolist()
-                else:
-                    ranks.update(read_ranks(ranks_path) if not ranks else ())
-                    yield merge(piece, ranks)
-
-        pieces = PieceTable(look_up)
-        for b in slices(batches):
-            each = [ids for ids, _, _ in pieces.documents(b["text"].to_pylist())]
-            ends = np.cumsum([0, *map(len, each)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], ids], ["doc_id", "ids"])
-
-    schema = ddl(docs, ["doc_id"], "ids array<int>")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    ranks = read_ranks(ranks_path)
+    known = RankMap(ranks)
+    cells, factors = known.literals()
+    merged = let(cells, lambda c: let(factors, lambda s: F.transform("words", lambda w: fold_merges(w, known, c, s))))
+    whole = let(merged, lambda m: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["words"], lambda i: F.get(m, i))).alias("ids"))))
+    return word_blocks(docs, ranks, known, block).select(F.explode(whole).alias("d")).select("d.doc_id", "d.ids")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str = RANKS) -> DataFrame:
     """``encoded`` (``doc_id, ids``) with ``decoded``, the binary pieces of the ids concatenated."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = {i: p for p, i in read_ranks(ranks_path).items()}.__getitem__
-        for b in slices(batches):
-            offsets, flat = b["ids"].offsets.to_numpy(), b["ids"].values.to_numpy(zero_copy_only=False)
-            texts = [b"".join(map(piece, flat[i:j].tolist())) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["ids"], pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, ddl(encoded, ["doc_id", "ids"], "decoded binary"))
+    ranks = read_ranks(ranks_path)
+    spelt = [""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        spelt[rank] = piece.hex()
+    literal = F.from_json(F.lit(json.dumps(spelt, separators=(",", ":"))), "array<string>")
+    joined = let(literal, lambda p: F.array_join(F.transform("ids", lambda i: F.get(p, i)), ""))
+    return encoded.select("doc_id", "ids", F.unhex(joined).alias("decoded"))
 
 
 def digests(docs: DataFrame) -> DataFrame:

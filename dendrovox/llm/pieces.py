@@ -3,7 +3,8 @@
 The split is that of ``public_tokenizers.PATTERN``: contractions; runs of letters, of numbers or of
 other marks, each with one space before it; white space, the last character of which stands alone
 (or leads the next run, if it is a space). Here it is done on arrays of code points, for many
-documents at once, and each piece is known by a 64-bit rolling hash. Pieces joined give the text.
+documents at once. A 64-bit rolling hash finds a piece that was met before; the piece's characters are then compared, so
+pieces whose hashes collide are told apart. Pieces joined give the text.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of some texts: (joined text, first and end offset of each piece, its hash, pieces before each text)."""
+def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of some texts: (joined text, its code points, first and end offset of each piece, its hash, pieces before each text)."""
     joined = "\n".join(texts) + "\n"
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(code)
@@ -90,54 +91,115 @@ def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np
     summed = np.zeros(n + 1, np.uint64)
     np.cumsum(value * up[:n], out=summed[1:])
     hashed = (summed[end] - summed[first]) * down[first] + (end - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    return joined, first, end, hashed, before
+    return joined, code, first, end, hashed, before
+
+
+class _Growing:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, kind: type, *first: int):
+        self.buffer, self.size = np.array(first, kind), len(first)
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.buffer):
+            self.buffer = np.concatenate([self.buffer[: self.size], np.empty(need, self.buffer.dtype)])
+        self.buffer[self.size : need] = values
+        self.size = need
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.buffer[: self.size]
+
+
+def spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of some spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Numbers:
+    """Numbers different pieces from 0 in the order in which they are met. Equal hashes count only with equal characters."""
+
+    def __init__(self):
+        self.keys, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.start, self.codes = _Growing(np.int64, 0), _Growing(np.uint32)
+        #: Pieces whose hash another piece had before.
+        self.odd: dict[str, int] = {}
+
+    def __len__(self) -> int:
+        return self.start.size - 1
+
+    def _add(self, code: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
+        self.start.extend(self.codes.size + np.cumsum(sizes))
+        self.codes.extend(code[spans(first, sizes)])
+
+    def number(self, joined: str, code: np.ndarray, first: np.ndarray, end: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the number of each piece; which pieces are the first of their kind, in the order of their numbers)."""
+        distinct, at, back = np.unique(hashed, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        known[place < len(self.keys)] = self.keys[place[place < len(self.keys)]] == distinct[place < len(self.keys)]
+        slot, new = np.empty(len(distinct), np.int64), at[~known]
+        slot[known] = self.slot[place[known]]
+        slot[~known] = len(self) + np.arange(len(new))
+        self.keys, self.slot = np.insert(self.keys, place[~known], distinct[~known]), np.insert(self.slot, place[~known], slot[~known])
+        self._add(code, first[new], end[new] - first[new])
+        slot, sizes = slot[back], end - first
+        held = self.start.all
+        same = held[slot + 1] - held[slot] == sizes
+        compared = np.where(same, sizes, 0)
+        differ = code[spans(first, compared)] != self.codes.all[spans(held[slot], compared)]
+        if differ.any():
+            same[np.repeat(np.arange(len(same)), compared)[differ]] = False
+        more = []
+        for k in np.flatnonzero(~same).tolist():
+            piece = joined[first[k] : end[k]]
+            if piece not in self.odd:
+                self.odd[piece] = len(self)
+                self._add(code, first[k : k + 1], sizes[k : k + 1])
+                more.append(k)
+            slot[k] = self.odd[piece]
+        return slot, np.append(new, more).astype(np.int64)
+
+
+def one_by_one(encode: Callable[[str], list[int]]) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """What ``PieceTable`` takes, from a function that encodes a piece."""
+
+    def many(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = list(map(encode, pieces))
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return sizes, np.fromiter((i for x in made for i in x), np.uint32, int(sizes.sum()))
+
+    return many
 
 
 class PieceTable:
-    """Encodes batches of texts, remembering the ids of at most ``limit`` pieces (a bound on memory only).
+    """Encodes batches of texts, remembering the ids of about ``limit`` pieces at most (a bound on memory only).
 
-    ``encode`` gets the pieces not met so far and returns their ids.
+    ``encode`` gets the pieces not met so far and returns the number of ids of each, and the ids.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
         self.make, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.offset, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
-
-    def _find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, hashed), max(0, len(self.keys) - 1))
-        if not len(self.keys):
-            return np.zeros(len(hashed), np.int64), np.zeros(len(hashed), bool)
-        return self.slot[at], self.keys[at] == hashed
+        self.numbers, self.offset, self.flat = Numbers(), _Growing(np.int64, 0), _Growing(np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all pieces, ids in each piece, characters in each piece, pieces before each text)."""
-        joined, first, end, hashed, before = split(texts)
-        distinct, back = np.unique(hashed, return_inverse=True)
-        slot, known = self._find(distinct)
-        if not known.all():
-            if len(self.keys) > self.limit:
-                self.clear()
-                known[:] = False
-            fresh = np.flatnonzero(~known)
-            where = np.empty(len(distinct), np.int64)
-            where[back] = np.arange(len(back))
-            made = list(self.make([joined[first[i] : end[i]] for i in where[fresh]]))
-            sizes = np.fromiter(map(len, made), np.int64, len(made))
-            old = len(self.offset) - 1
-            self.offset = np.append(self.offset, self.offset[-1] + np.cumsum(sizes))
-            self.flat = np.append(self.flat, np.fromiter((i for x in made for i in x), np.uint32, int(sizes.sum())))
-            at = np.searchsorted(self.keys, distinct[fresh])  # both are sorted
-            self.keys, self.slot = np.insert(self.keys, at, distinct[fresh]), np.insert(self.slot, at, old + np.arange(len(fresh)))
-            slot, _ = self._find(distinct)
-        slot = slot[back]
-        sizes = self.offset[slot + 1] - self.offset[slot]
-        total = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.offset[slot] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
-        return ids, sizes, end - first, before
+        if len(self.numbers) > self.limit:
+            self.clear()
+        joined, code, first, end, hashed, before = split(texts)
+        slot, new = self.numbers.number(joined, code, first, end, hashed)
+        if len(new):
+            sizes, ids = self.make([joined[first[i] : end[i]] for i in new.tolist()])
+            self.offset.extend(self.flat.size + np.cumsum(sizes))
+            self.flat.extend(ids)
+        offset = self.offset.all
+        sizes = offset[slot + 1] - offset[slot]
+        return self.flat.all[spans(offset[slot], sizes)], sizes, end - first, before
 
     def documents(self, texts: list[str | None]) -> Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text, null as empty: (its ids, ids in each piece, characters in each piece)."""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrovox.llm.common import ddl, table
-from dendrovox.llm.pieces import WHITE_POINTS, Memo, PieceTable
+from dendrovox.llm.pieces import WHITE_POINTS, Memo, PieceTable, one_by_one
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 FAN = 64
@@ -164,7 +164,7 @@ def build_trees(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizer(ranks)
-        pieces = PieceTable(lambda some: map(enc.encode_ordinary, some))
+        pieces = PieceTable(one_by_one(enc.encode_ordinary))
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)

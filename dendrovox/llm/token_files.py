@@ -6,9 +6,9 @@ few), the sorted number columns are delta-encoded (format version 2, no dictiona
 number of rows, so the column and page indexes let a reader take some documents' ids, or the metadata
 without any ids.
 
-Documents are dealt by range of doc_id (cut at quantiles, which read that column only), sorted, and encoded
+Documents are dealt by range of doc_id (rows of one doc_id may be dealt to several ranges), sorted, and encoded
 in that order in one pass, which also numbers the tokens within the shard. A document's global start is its
-shard's start plus that number; only one total per shard is gathered for it.
+shard's start plus that number; only one total per shard is gathered for it. ``docs_per_file`` sets how many files there are.
 
 Cases: a null text is empty and has only the end id; repeated rows are documents of their own, in any order
 among equals; an empty table gives an empty directory of the same schema; other columns are ignored.
@@ -29,15 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dendrovox.llm.common import slices, table
-from dendrovox.llm.pieces import PieceTable
+from dendrovox.llm.pieces import PieceTable, one_by_one
 from dendrovox.plans.iterate import new_path
 
 TOKENIZER, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
 #: Documents in a file, about.
 DOCS_PER_FILE = 4096
-MAX_FILES = 10_000
-#: Pieces that the tokenizer gets at once, and that a task remembers: bounds on memory only.
-AT_ONCE, TABLE = 2_000, 500_000
+#: Pieces that a worker remembers: a bound on memory only.
+TABLE = 1_500_000
 SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens int, ids array<int>"
 OPTIONS = {
     "parquet.writer.version": "v2",
@@ -51,30 +50,26 @@ OPTIONS = {
 }
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in byte-level files: visible Latin-1 stands for itself, the rest is numbered from 256."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 @lru_cache(1)
 def tokenizer_table(path: str) -> PieceTable:
-    """Encodes with a byte-level BPE file of the ``tokenizers`` library. A Python worker keeps it from task to task."""
+    """Encodes with the model of a byte-level BPE file of the ``tokenizers`` library. A Python worker keeps it from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; its threads cost memory
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-
-    def encode(pieces: list[str]) -> Iterator[list[int]]:
-        for a in range(0, len(pieces), AT_ONCE):
-            yield from [e.ids for e in tok.encode_batch_fast(pieces[a : a + AT_ONCE], add_special_tokens=False)]
-
-    return PieceTable(encode, TABLE)
+    merged, spell = Tokenizer.from_file(path).model.tokenize, byte_alphabet()
+    return PieceTable(one_by_one(lambda piece: [t.id for t in merged(piece.encode().decode("latin-1").translate(spell))]), TABLE)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, docs_per_file: int = DOCS_PER_FILE) -> DataFrame:
     """Write the ids of ``docs`` (``doc_id, text``) to ``path`` and return the table read back from there."""
-    spark, rows = docs.sparkSession, docs.count()
-    files = max(1, min(MAX_FILES, rows // docs_per_file))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 100 * files)).first()[0] if files > 1 else None
-    place = F.lit(0)
-    if cuts:
-        known = sorted(set(cuts))
-        place = F.size(F.filter(F.array(*map(F.lit, known)), lambda c: c < F.col("doc_id")))
+    spark, files = docs.sparkSession, max(1, docs.count() // docs_per_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, shard, start = tokenizer_table(tokenizer), TaskContext.get().partitionId(), 0
@@ -89,7 +84,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
             )
             start += int(ends[-1])
 
-    dealt = docs.select("doc_id", "text").repartitionById(files, place.cast("int")).sortWithinPartitions("doc_id")
+    # what follows doc_id only splits one that very many rows have
+    dealt = docs.select("doc_id", "text").repartitionByRange(files, "doc_id", F.xxhash64("text"), F.monotonically_increasing_id()).sortWithinPartitions("doc_id")
     dealt.mapInArrow(run, SCHEMA).write.options(**OPTIONS).parquet(path)
     return read_token_files(spark, path)
 
@@ -99,11 +95,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def document_starts(files: DataFrame) -> DataFrame:
-    """``files`` with ``start``, the ids of all documents before; the totals read ``n_tokens`` only."""
-    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("t"))
+def document_starts(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``rows`` (``shard, start_in_shard`` and others; ``files`` itself if None) with ``start``, the ids of all documents before.
+
+    The totals read ``shard, n_tokens`` of ``files`` only.
+    """
+    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("t"))  # a row for each file
     before = totals.select("shard", (F.sum("t").over(Window.orderBy("shard")) - F.col("t")).alias("before"))
-    return files.join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("start_in_shard")).drop("before")
+    return (files if rows is None else rows).join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("start_in_shard")).drop("before")
 
 
 def ids_checksum(files: DataFrame) -> DataFrame:
@@ -119,9 +118,6 @@ def ids_checksum(files: DataFrame) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "token-files")
-    files = write_token_files(table(spark, sf_dir, "documents"), path)
-    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("t"))  # a row for each file
-    before = totals.select("shard", (F.sum("t").over(Window.orderBy("shard")) - F.col("t")).alias("before"))
-    summed = ids_checksum(files).join(F.broadcast(before), "shard")
-    return summed.select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
+    files = write_token_files(table(spark, sf_dir, "documents"), new_path(spark, "token-files"))
+    summed = document_starts(files.select("shard", "n_tokens"), ids_checksum(files))
+    return summed.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
