@@ -40,10 +40,11 @@ def path_loss(
 
     ``pairs`` has ``gt`` (0 or 1), ``pred`` and ``seg`` for each stored voxel. Starts are drawn from the ground truth outside
     the thrice dilated component of the segmentation at the soma. 0 where there is no soma or one at the origin, no
-    predecessor, or a ground truth denser than ``max_density``.
+    predecessor, or a segmentation denser (by its sum) than ``max_density``.
     """
     gt = pairs.where("gt = 1").select(*keys, *AXES)
-    fit = V.foreground_density(gt, volumes, keys).where(F.col("density") <= max_density).select(*keys)
+    held = volumes.join(pairs.groupBy(*keys).agg(F.sum("seg").alias("_held")), list(keys), "left")
+    fit = held.where(F.coalesce("_held", F.lit(0.0)) <= F.lit(max_density) * F.col("depth") * F.col("height") * F.col("width")).select(*keys)
     fit = fit.join(somas.where("z + y + x <> 0").select(*keys).distinct(), list(keys), "left_semi")
     zero = volumes.select(*keys, F.lit(0.0).alias("loss"))
     if predecessors is None:

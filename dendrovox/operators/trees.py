@@ -100,16 +100,17 @@ def prune_in_soma(nodes: DataFrame, mask: DataFrame, volumes: DataFrame, flip: s
 def connect_to_soma(nodes: DataFrame, soma: DataFrame, volumes: DataFrame, iterations: int = 4, flip: str = "h") -> DataFrame:
     """Trees re-rooted at their grown cell body: nodes with new parents and ``orphan``.
 
-    The mask is dilated and must then have one 6-component (else the tree stays as it is), which must hold the root (y
-    not flipped). E: the nodes in it. Strict ancestors of E but the root go. Of E, childless nodes go and others
+    The mask is dilated; its 6-component that holds the root (y not flipped) counts, without such a one its only
+    component, and of several the tree stays as it is. E: the nodes in it. Strict ancestors of E but the root go. Of E, childless nodes go and others
     hang from node 1; so do children of removed E nodes. Other children of removed nodes are kept as orphans.
     """
     grown = V.dilate(soma, volumes, iterations)
     labelled = materialize(D.connected_components(grown, volumes, 6), "labelled")
     roots = _voxel(nodes.where("n = 1"), volumes, "none").select(F.col("tree_id").alias("volume_id"), *[F.col(f"v{a}").alias(a) for a in AXES])
-    one = labelled.groupBy("volume_id").agg(F.count_distinct("component_id").alias("k")).where("k = 1").select("volume_id")
-    held = labelled.join(one, "volume_id", "left_semi").join(roots, ["volume_id", *AXES], "left_semi").select("volume_id").distinct()
-    part = labelled.join(held, "volume_id", "left_semi").select("volume_id", *AXES)
+    held = labelled.join(roots, ["volume_id", *AXES], "left_semi").select("volume_id", "component_id").distinct()
+    only = labelled.groupBy("volume_id").agg(F.min("component_id").alias("component_id"), F.max("component_id").alias("_last")).where("component_id = _last")
+    chosen = held.union(only.select("volume_id", "component_id")).distinct()
+    part = labelled.join(chosen, ["volume_id", "component_id"], "left_semi").select("volume_id", *AXES)
     e = materialize(nodes_in_mask(nodes, part, volumes, flip).select(*TREE, "n"), "inside")
     steps = nodes.where("parent <> -1").select(*TREE, "n", F.col("parent").alias("up"))
     above = _doubled(steps, pairs=True).join(e, [*TREE, "n"], "left_semi").where("up <> 1").select(*TREE, F.col("up").alias("n")).distinct()
@@ -141,15 +142,15 @@ def snap_markers(markers: DataFrame, nodes: DataFrame, hit: float = 100, reach:
     """The markers (``tree_id, ord, x, y, z``) and, after them, each one's snapped copy (``snapped``).
 
     A marker snaps to the first root nearer than ``hit`` (squared), else to the nearest node nearer than ``reach``, the
-    first of equals, else it stays; snapped coordinates are truncated. Each marker keeps its best node only, by a
+    first of equals, else it stays; snapped coordinates are truncated, those of node 1 before measuring. Each marker keeps its best node only, by a
     map-side combining minimum.
     """
-    near = markers.join(nodes.select(*TREE, "n", "parent", *[F.col(a).alias(f"n{a}") for a in ("x", "y", "z")]), list(TREE))
+    cut = lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("double")
+    near = markers.join(nodes.select(*TREE, "n", "parent", *[F.when(F.col("n") == 1, cut(F.col(a))).otherwise(F.col(a)).alias(f"n{a}") for a in ("x", "y", "z")]), list(TREE))
     d2 = sum(((F.col(a) - F.col(f"n{a}")) * (F.col(a) - F.col(f"n{a}")) for a in ("x", "y", "z")), F.lit(0.0))
     root = (d2 < hit) & (F.col("parent") == -1)
     order = F.struct(F.when(root, 0).otherwise(1).alias("a"), F.when(root, F.col("n").cast("double")).otherwise(d2).alias("b"), F.col("n").alias("c"))
     best = near.where(root | (d2 < reach)).groupBy(*TREE, "ord").agg(F.min_by(F.struct("nx", "ny", "nz"), order).alias("b"))
-    cut = lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("double")
     moved = markers.join(best, [*TREE, "ord"], "left").select(*TREE, "ord", *[cut(F.coalesce(F.col(f"b.n{a}"), F.col(a))).alias(a) for a in ("x", "y", "z")], F.lit(True).alias("snapped"))
     return markers.select(*TREE, "ord", "x", "y", "z", F.lit(False).alias("snapped")).unionByName(moved)
 

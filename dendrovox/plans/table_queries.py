@@ -73,21 +73,43 @@ def t05b(spark, d):
 
 
 SOMA = "select tree_id as volume_id, cast(trunc(z) as int) as z, cast(trunc(y) as int) as y, cast(trunc(x) as int) as x from f_node where n = 1 and tree_id in (select volume_id from f_volume)"
-GROWN = f"select * from ({moved_sql(f'select * from ({moved_sql(SOMA, ball(2))}) where {IN}', cross(4))}) where {IN}"
 
 
-@register("t06_connect_to_soma", f"""with recursive {comp_sql(GROWN, 6)}, {KIDS},
-ok as (select volume_id from lab group by 1 having count(distinct component_id) = 1),
-{INSIDE.format('select volume_id, z, y, x from lab where volume_id in (select volume_id from ok)')},
+def connected_sql(soma: str) -> str:
+    grown = f"select * from ({moved_sql(f'select * from ({moved_sql(soma, ball(2))}) where {IN}', cross(4))}) where {IN}"
+    return f"""with recursive {comp_sql(grown, 6)}, {KIDS},
+held as (select distinct l.volume_id, l.component_id from lab l join ({SOMA}) r using (volume_id, z, y, x)),
+only_one as (select volume_id, min(component_id) as component_id from lab group by 1 having count(distinct component_id) = 1),
+ok as (select * from held union select * from only_one),
+{INSIDE.format('select volume_id, z, y, x from lab where (volume_id, component_id) in (select (volume_id, component_id) from ok)')},
 anc(tree_id, n) as (select i.tree_id, f.parent from ins i join f_node f using (tree_id, n) where f.parent <> -1 union select a.tree_id, f.parent from anc a join f_node f using (tree_id, n) where f.parent <> -1),
 gon as (select tree_id, n from anc where n <> 1 union select i.tree_id, i.n from ins i anti join kid k on i.tree_id = k.tree_id and i.n = k.n),
 flag as (select f.*, (f.tree_id, f.n) in (select (tree_id, n) from ins) as e, (f.tree_id, f.parent) in (select (tree_id, n) from gon) as up_gone, (f.tree_id, f.parent) in (select (tree_id, n) from ins) as up_e from f_node f anti join gon g on f.tree_id = g.tree_id and f.n = g.n)
-select tree_id, n, type, x, y, z, r, case when e or (up_gone and up_e) then 1 else parent end as parent, (not e) and up_gone and not up_e as orphan from flag""")
-def t06(spark, d):
+select tree_id, n, type, x, y, z, r, case when e or (up_gone and up_e) then 1 else parent end as parent, (not e) and up_gone and not up_e as orphan from flag"""
+
+
+def connected(spark, d, of) -> DataFrame:
     n = nodes(spark, d).join(dims(spark, d).select(F.col("volume_id").alias("tree_id")), "tree_id", "left_semi")
-    root = n.where("n = 1").select(F.col("tree_id").alias("volume_id"), *[F.floor(a).cast("int").alias(a) for a in "zyx"])
-    soma = V.dilate(root, dims(spark, d), offsets=ball(2))
-    return T.connect_to_soma(nodes(spark, d), soma, dims(spark, d))
+    places = n.where(of).select(F.col("tree_id").alias("volume_id"), *[F.floor(a).cast("int").alias(a) for a in "zyx"]).distinct()
+    return T.connect_to_soma(nodes(spark, d), V.dilate(places, dims(spark, d), offsets=ball(2)), dims(spark, d))
+
+
+@register("t06_connect_to_soma", connected_sql(SOMA))
+def t06(spark, d):
+    return connected(spark, d, F.col("n") == 1)
+
+
+SOMAS = SOMA.replace("n = 1", "({})")
+
+
+@register("t06_connect_to_somas", connected_sql(SOMAS.format("n = 1 or n % 40 = 0")))
+def t06b(spark, d):
+    return connected(spark, d, (F.col("n") == 1) | (F.col("n") % 40 == 0))
+
+
+@register("t06_connect_elsewhere", connected_sql(SOMAS.format("n = 9 or (n = 20 and tree_id % 2 = 0)")))
+def t06c(spark, d):
+    return connected(spark, d, (F.col("n") == 9) | ((F.col("n") == 20) & (F.col("tree_id") % 2 == 0)))
 
 
 @register("t07_full_resolution", "select f.tree_id, n, 247 as type, least(greatest(x * 2, 0), 47.0)::double as x, least(greatest(48 - y * 2 - 1, 0), 47.0)::double as y, least(greatest(z * 2, 0), 23.0)::double as z, r, parent from f_node f join f_volume v on f.tree_id = v.volume_id")
@@ -100,17 +122,26 @@ def tree_markers(spark, d) -> DataFrame:
     return fixture(spark, d, "f_marker").withColumnRenamed("image_id", "tree_id")
 
 
-@register("t08_snap_markers", """
+SNAPPED = """
 with p as (select m.image_id as tree_id, m.ord, m.x, m.y, m.z, f.n, f.x as nx, f.y as ny, f.z as nz, (m.x - f.x) * (m.x - f.x) + (m.y - f.y) * (m.y - f.y) + (m.z - f.z) * (m.z - f.z) as d2, f.parent
-  from f_marker m left join f_node f on m.image_id = f.tree_id),
+  from f_marker m left join (select tree_id, n, parent, case when n = 1 then trunc(x) else x end as x, case when n = 1 then trunc(y) else y end as y, case when n = 1 then trunc(z) else z end as z from ({})) f on m.image_id = f.tree_id),
 q as (select *, d2 < 100 and parent = -1 as hit from p),
 r as (select *, row_number() over (partition by tree_id, ord order by case when hit then 0 when d2 < 100000 then 1 else 2 end, case when hit then n else d2 end, n) as rank from q)
 select image_id as tree_id, ord, x, y, z, false as snapped from f_marker
-union all select tree_id, ord, trunc(case when hit or d2 < 100000 then nx else x end), trunc(case when hit or d2 < 100000 then ny else y end), trunc(case when hit or d2 < 100000 then nz else z end), true from r where rank = 1""")
+union all select tree_id, ord, trunc(case when hit or d2 < 100000 then nx else x end), trunc(case when hit or d2 < 100000 then ny else y end), trunc(case when hit or d2 < 100000 then nz else z end), true from r where rank = 1"""
+
+
+@register("t08_snap_markers", SNAPPED.format("select * from f_node"))
 def t08(spark, d):
     return T.snap_markers(tree_markers(spark, d), nodes(spark, d))
 
 
+@register("t08_snap_between_voxels", SNAPPED.format("select tree_id, n, parent, x + 0.75 as x, y + 0.75 as y, z + 0.75 as z from f_node"))
+def t08b(spark, d):
+    moved = nodes(spark, d).withColumns({a: F.col(a) + 0.75 for a in ("x", "y", "z")})
+    return T.snap_markers(tree_markers(spark, d), moved)
+
+
 def raster_sql(a: str, b: str) -> str:
     disc = ", ".join(str((i, j)) for i in range(-3, 4) for j in range(-3, 4) if i * i + j * j <= 9)
     put = lambda p, q: f"cast(case when s = 0 then {p} else floor((2 * {p} * s + 2 * ({q} - {p}) * t + s) / (2.0 * s)) end as int)"
