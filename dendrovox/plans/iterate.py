@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ MAX_ROUNDS = 100
 
 #: By application: the folder chosen where the cluster names none.
 _own: dict[str, str] = {}
+#: Tables that ``materialize`` made and nothing has deleted yet.
+_made: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,12 +50,23 @@ def materialize(df: DataFrame, name: str = "table", partitions: int | None = Non
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kept_at = path
+    _made.append(out)
+    return out
+
+
+def settle(make: Callable[[], DataFrame], name: str = "table") -> DataFrame:
+    """``materialize`` what ``make`` returns, and delete the tables that were written on the way to it."""
+    before = {id(x) for x in _made}
+    out = materialize(make(), name)
+    for df in [x for x in _made if x is not out and id(x) not in before]:
+        release(df)
     return out
 
 
 def release(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` made; no later plan may read it."""
     jvm, path = df.sparkSession._jvm, getattr(df, "_kept_at", None)
+    _made[:] = [x for x in _made if x is not df]
     if path:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
