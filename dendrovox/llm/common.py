@@ -10,16 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few numbers each that a broadcast may have; it is checked by a count before.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if it has at most ``limit`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, weight=None) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if it has at most ``limit`` rows, or numbers by ``weight``, else as it is."""
+    if weight is None:
+        small = df.limit(limit + 1).count() <= limit
+    else:
+        small = (df.agg(F.sum(weight)).first()[0] or 0) <= 4 * limit
+    return F.broadcast(df) if small else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(column):

@@ -48,6 +48,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def prefix_hashes(code: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of first and end places that gives the rolling hashes of those spans of code points."""
+    n = len(code)
+    up, down = _powers(1 << max(16, int(n).bit_length()))
+    value = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    value ^= value >> np.uint64(29)
+    summed = np.zeros(n + 1, np.uint64)
+    np.cumsum(value * up[:n], out=summed[1:])
+    return lambda first, end: (summed[end] - summed[first]) * down[first] + (end - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+
+
 def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of some texts: (joined text, its code points, first and end offset of each piece, its hash, pieces before each text)."""
     joined = "\n".join(texts) + "\n"
@@ -85,12 +96,7 @@ def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np
     piece = kind[first] != END
     before = np.searchsorted(first[piece], np.append(0, stops + 1))
     first, end = first[piece], end[piece]
-    up, down = _powers(1 << max(16, int(n).bit_length()))
-    value = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    value ^= value >> np.uint64(29)
-    summed = np.zeros(n + 1, np.uint64)
-    np.cumsum(value * up[:n], out=summed[1:])
-    hashed = (summed[end] - summed[first]) * down[first] + (end - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    hashed = prefix_hashes(code)(first, end)
     return joined, code, first, end, hashed, before
 
 
