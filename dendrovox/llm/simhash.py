@@ -19,35 +19,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrovox.llm.common import ddl, slices, table
-from dendrovox.plans.iterate import connected_components, materialize
+from dendrovox.llm.common import ddl, slices, small_side, table
+from dendrovox.plans.iterate import connected_components, materialize, settle
 
 SHINGLE, RADIUS, SHARD = 4, 4, 4096
 #: Shingles whose bits are counted at once.
 BLOCK = 100_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits: bit i is set if it is set in over half the XXH64 (seed 42) of the word shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 (seed 42) of a text's word shingles in order; fewer words are one shingle, none are the empty one."""
     import xxhash
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     end = np.cumsum(sizes) - 1
-    first = (end - sizes + 1)[: max(1, len(parts) - shingle + 1)].tolist()
-    last = end[min(shingle, len(parts)) - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for a in range(0, len(first), BLOCK):
-        h = np.array([digest(joined[i:j], 42) for i, j in zip(first[a : a + BLOCK], last[a : a + BLOCK], strict=True)], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(first), bitorder="little")
-    return int(bits.view("<u8")[0])
+    first = (end - sizes + 1)[: max(1, len(parts) - shingle + 1)].tolist() or [0]
+    last = end[min(shingle, len(parts)) - 1 :].tolist() if parts else [0]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[i:j], 42) for i, j in zip(first, last, strict=True)), np.uint64, len(first))
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that over half the hashes have set."""
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(h), BLOCK):
+        counts += np.unpackbits(h[a : a + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64 bits: bit i is set if it is set in over half the hashes of the word shingles; zero without words."""
+    return majority(shingle_hashes(text, shingle)) if text and text.strip(" \t\n\v\f\r") else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -177,80 +184,142 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 
     A doc_id that several rows have keeps all of them.
     """
-    from dendrovox.llm.common import small_side
-
-    found = near_duplicates(docs, shingle, radius)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    gone = settle(lambda: near_duplicates(docs, shingle, radius).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 #: What the pipeline's stage calls near-duplicates: at least so similar (Jaccard) sets of shingles of so many words.
 SIMILAR, WORDS = 0.8, 5
+#: Shingles that a task met in so many documents may be among the MOST_COMMON, which are broadcast to order the others before them.
+COMMON_AT, MOST_COMMON, COUNTED = 8, 100_000, 1 << 20
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, in order; a text of fewer words is one shingle."""
-    import xxhash
+def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``k, doc_id, fp, h, g, size, hashes`` of each row: its number, fingerprint, the 128 bits that name its set of shingles, and the set."""
 
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    some = (b" ".join(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1)))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in some), np.uint64)).view(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in slices(batches, 256):
+            all_of = [shingle_hashes(t.as_py(), words) for t in b["text"]]
+            sets = [np.unique(h) for h in all_of]
+            names = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64) for x in sets]).reshape(-1, 2)
+            fp = np.array([majority(h) for h in all_of], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], pa.array(fp), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, sets), pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                ["doc_id", "fp", "h", "g", "size", "hashes"],
+            )
 
+    found = docs.select("doc_id", "text").mapInArrow(run, ddl(docs, ["doc_id"], "fp long, h long, g long, size int, hashes binary"))
+    return materialize(found.select(F.monotonically_increasing_id().alias("k"), "*"), "sketches")
 
-def _sets(docs: DataFrame, words: int, similar: float | None) -> DataFrame:
-    """``doc_id, h, g, size, hashes``: 128 bits that name the set, and its first hashes that ``similar`` sets must share (None: all)."""
+
+def similar_of(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs ``a, b`` (of ``k`` of ``sets``) whose sets are similar."""
+    pairs = materialize(pairs.distinct(), "candidates")
+    need = materialize(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct(), "need")
+    whole = materialize(sets.select("k", "hashes").join(small_side(need), "k", "left_semi"), "whole")
+    named = pairs.join(whole.select(F.col("k").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("k").alias("b"), F.col("hashes").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for b in slices(batches, 64):
+            ok = []
+            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return materialize(named.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+
+
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """The hashes (sorted) of the most common shingles. They only order other work, so what a task meets seldom is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n >= COMMON_AT].view(np.int64)), pa.array(n[n >= COMMON_AT])], ["hash", "n"])
 
         for b in slices(batches):
-            found = [shingle_set(t.as_py(), words) for t in b["text"]]
-            names = [np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64) for x in found]
-            size = [len(x) for x in found]
-            least = [n if similar is None else n - int(np.ceil(similar * n - 1e-9)) + 1 for n in size]
-            first = [x[:k].tolist() for x, k in zip(found, least, strict=True)]
-            columns = [pa.array([int(x[k]) for x in names], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *columns, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "h", "g", "size", "hashes"])
+            held += [np.frombuffer(x, np.uint64) for x in b["hashes"].to_pylist()]
+            size = sum(map(len, held))
+            if size >= COUNTED:
+                yield counted()
+                held = []
+        if held:
+            yield counted()
 
-    schema = ddl(docs, ["doc_id"], "h long, g long, size int, hashes array<bigint>")
-    return docs.select("doc_id", "text").mapInArrow(run, schema).select("doc_id", F.struct("h", "g").alias("id"), "size", "hashes")
+    total = sets.select("hashes").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    most = total.orderBy(F.desc("n"), "hash").limit(MOST_COMMON).select("hash").toPandas()  # bounded
+    return np.sort(most["hash"].to_numpy(np.int64).view(np.uint64))
 
 
-def similar_pairs(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, id`` of each row; all pairs ``a, b`` of ids of different sets that are similar).
+def prefixes(sets: DataFrame, common: np.ndarray, similar: float) -> DataFrame:
+    """``key, k, part, size``: the shingles of each set of n of which similar sets must share one: n - similar * n + 1, the rare first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            keys = []
+            for x in b["hashes"].to_pylist():
+                h = np.frombuffer(x, np.uint64)
+                at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
+                often = common[at] == h if len(common) else np.zeros(len(h), bool)
+                keys.append(np.append(h[~often], h[often])[: len(h) - int(np.ceil(similar * len(h) - 1e-9)) + 1])
+            n = np.fromiter(map(len, keys), np.int64, len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.repeat(b[c].to_numpy(), n)) for c in ("k", "part", "size"))], ["key", "k", "part", "size"])
+
+    return sets.select("k", "part", "size", "hashes").mapInArrow(run, "key long, k long, part long, size int")
 
-    Sets of n hashes that are similar share one of their n - similar * n + 1 smallest, so no pair is missed. A hash of
-    more than ``shard`` sets is paired in blocks. Candidates are verified by their whole sets.
+
+def similar_groups(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """``doc_id, part``: rows of one part are linked by sets of shingles that are similar.
+
+    The BK-trees find the pairs that span the fingerprints within ``radius`` bits. Similar sets may differ in more bits, for
+    which shards by bands would be too few, so a second search, over what the first has not joined, shards
+    by shingles: sets that are similar share one of their first ones (``prefixes``). Both verify by the whole sets.
     """
-    each = materialize(_sets(docs, words, similar), "sets")
-    least = materialize(each.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("hashes").alias("hashes")), "distinct")
-    flat = least.select("id", "size", F.explode("hashes").alias("key"))
-    flat = flat.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / shard).cast("int"))
-    flat = materialize(flat.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "keys")
+    rows = sketches(docs, words)
+    nodes = materialize(rows.groupBy("h", "g").agg(F.min("k").alias("k"), F.min("fp").alias("fp")), "nodes")
+    least = nodes.groupBy("fp").agg(F.min("k").alias("low"))
+    same = nodes.join(least, "fp").where("k <> low").select(F.col("low").alias("a"), F.col("k").alias("b"))
+    near = links(least.select("fp"), radius, shard)
+    names = lambda old, new: least.select(F.col("fp").alias(old), F.col("low").alias(new))
+    near = near.toDF("x", "y").join(names("x", "a"), "x").join(names("y", "b"), "y").select("a", "b")
+    linked = similar_of(same.union(near), rows, similar)
+    parts = connected_components(linked).select(F.col("node").alias("k"), F.col("component").alias("part"))
+    known = materialize(nodes.select("k").join(parts, "k", "left").select("k", F.coalesce("part", "k").alias("part")), "parts")
+    sets = rows.select("k", "size", "hashes").join(small_side(known), "k")
+    common = common_shingles(sets)
+    keys = prefixes(sets, common, similar)
+    shared = keys.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    keys = keys.join(small_side(materialize(shared, "shared")), "key")
+    sizes = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("blocks"))
+    keys = materialize(keys.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")), "keys")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    one = flat.select("key", F.col("block").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("size").alias("s"))
-    two = flat.select("key", F.col("block").alias("j"), every.alias("i"), F.col("id").alias("b"), "size")
-    near = F.least("s", "size") >= F.greatest("s", "size") * similar - 1e-9
-    met = materialize(one.join(two, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "candidates")
-    need = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
-    need = materialize(least.join(need, "id", "left_semi").select("doc_id"), "need").distinct()
-    whole = _sets(docs.join(need.withColumnRenamed("doc_id", "_need"), F.col("doc_id").eqNullSafe(F.col("_need"))), words, None)
-    whole = materialize(whole.select("id", "hashes").dropDuplicates(["id"]), "whole")
-    named = met.join(whole.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return each.select("doc_id", "id"), materialize(named.where(both >= (F.size("x") + F.size("y") - both) * similar - 1e-9).select("a", "b"), "pairs")
+    one = keys.select("key", F.col("block").alias("i"), every.alias("j"), F.col("k").alias("a"), F.col("part").alias("p"), F.col("size").alias("s"))
+    two = keys.select("key", F.col("block").alias("j"), every.alias("i"), F.col("k").alias("b"), "part", "size")
+    may = (F.col("p") < F.col("part")) & (F.least("s", "size") >= F.greatest("s", "size") * similar - 1e-9)
+    wide = similar_of(one.join(two, ["key", "i", "j"]).where(may).select("a", "b"), rows, similar)
+    parts = connected_components(linked.union(wide)).select(F.col("node").alias("k"), F.col("component").alias("part"))
+    known = nodes.select("h", "g", "k").join(parts, "k", "left").select("h", "g", F.coalesce("part", "k").alias("part"))
+    return rows.select("doc_id", "h", "g").join(known, ["h", "g"]).select("doc_id", "part")
 
 
 def drop_similar(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with one document of each group that similar shingle sets link, the one of the smallest doc_id; as ``drop_near_duplicates``."""
-    from dendrovox.llm.common import small_side
-
-    each, pairs = similar_pairs(docs, words, similar)
-    parts = connected_components(pairs).withColumnRenamed("node", "id")
-    named = each.join(parts, "id", "left").select("doc_id", F.coalesce("component", "id").alias("part"))
-    lows = materialize(named.groupBy("part").agg(F.min("doc_id").alias("low")), "lows")
-    gone = materialize(named.join(lows, "part").where("doc_id <> low").select("doc_id").distinct(), "gone")
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one document of each group that similar shingle sets link, the one of the smallest doc_id; as ``drop_near_duplicates``.
+
+    Texts of fewer words than a shingle are one shingle; texts without words are copies of each other.
+    """
+
+    def others() -> DataFrame:
+        named = materialize(similar_groups(docs, words, similar), "groups")
+        lows = named.groupBy("part").agg(F.min("doc_id").alias("low"))
+        return named.join(lows, "part").where("doc_id <> low").select("doc_id").distinct()
+
+    return docs.join(small_side(settle(others, "gone")), "doc_id", "left_anti").select(docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

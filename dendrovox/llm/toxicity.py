@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from dendrovox.llm.common import ddl, slices, small_side, table
 from dendrovox.llm.labelled import MAX_LABELLED, held_out, training_labels
 from dendrovox.llm.pieces import Memo
-from dendrovox.plans.iterate import materialize
+from dendrovox.plans.iterate import materialize, settle
 
 THRESHOLD = 0.3
 MAX_FEATURES, MIN_DOCS, MIN_EVIDENCE = 512, 2, 1.0
@@ -185,8 +185,7 @@ def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more; all columns stay."""
-    scored = score_toxicity(docs, fit_toxicity(docs, labels))
-    bad = materialize(scored.where(F.col("score") >= threshold).select("doc_id").distinct(), "toxic")
+    bad = settle(lambda: score_toxicity(docs, fit_toxicity(docs, labels)).where(F.col("score") >= threshold).select("doc_id").distinct(), "toxic")
     return docs.join(small_side(bad), "doc_id", "left_anti").select(docs.columns)
 
 
