@@ -149,11 +149,10 @@ def fold_merges(word, known: RankMap, cells, factors) -> F.Column:
                 new = lambda x, i: F.when((i > k) | (i < k - 1), x).when(i == k, both(F.get(beside, F.lit(1)), made)).otherwise(both(F.get(beside, F.lit(0)), below(x)))
                 return F.transform(F.filter(state, lambda _, i: i != k + 1), new)
 
-            return let(F.transform(pairs, lambda pair: known.rank(cells, factors, pair)), put)
+            return F.when(made == known.none, state).otherwise(let(F.transform(pairs, lambda pair: known.rank(cells, factors, pair)), put))
 
-        lowest = above(F.array_min(state))
-        at = F.array_position(F.transform(state, above), lowest) - 1
-        return F.when(lowest == known.none, state).otherwise(let(at.cast("int"), merge_at))
+        lowest = F.array_position(F.transform(state, above), above(F.array_min(state)))
+        return let((lowest - 1).cast("int"), merge_at)
 
     merged = F.aggregate(F.sequence(F.lit(2), F.size(word)), word, step)
     return F.transform(F.when(F.size(word) > 1, merged).otherwise(word), lambda x: below(x).cast("int"))
@@ -223,10 +222,10 @@ def decode_documents(encoded: DataFrame, ranks_path: str = RANKS) -> DataFrame:
     ranks = read_ranks(ranks_path)
     spelt = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        spelt[rank] = piece.hex()
+        spelt[rank] = piece.decode("latin-1")  # a character for each byte
     literal = F.from_json(F.lit(json.dumps(spelt, separators=(",", ":"))), "array<string>")
     joined = let(literal, lambda p: F.array_join(F.transform("ids", lambda i: F.get(p, i)), ""))
-    return encoded.select("doc_id", "ids", F.unhex(joined).alias("decoded"))
+    return encoded.select("doc_id", "ids", F.encode(joined, "ISO-8859-1").alias("decoded"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
