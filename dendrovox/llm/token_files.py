@@ -36,7 +36,7 @@ TOKENIZER, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
 #: Documents in a file, about.
 DOCS_PER_FILE = 4096
 #: Pieces that a worker remembers: a bound on memory only.
-TABLE = 1_500_000
+TABLE = 1_000_000
 SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens int, ids array<int>"
 OPTIONS = {
     "parquet.writer.version": "v2",
