@@ -1,7 +1,7 @@
 """Operator 9: sharding along a Hilbert curve over document metadata.
 
-Each metadata dimension is quantised into ``2**BITS`` buckets at its quantiles (a string counts as the
-number that its first six bytes spell, which keeps its order), the buckets' place on a Hilbert curve is
+Each metadata dimension is quantised into ``2**BITS`` buckets at its quantiles (a string's bucket follows the share of
+rows with lesser strings, whole strings compared), the buckets' place on a Hilbert curve is
 the document's index, and the order of the indexes is cut into runs of equal row counts. A run covers a
 compact region of the metadata space, so files pruned by their minimum and maximum are pruned in all
 dimensions at once. Ties are ordered by the text's checksum, so that equal texts lie together, then by
@@ -11,7 +11,8 @@ Ranks are global without a global task: rows are dealt by range of (index, check
 is cut by the other two, and each range gets the total of the ranges before it.
 
 Cases: null metadata is a bucket below all others; a null text has size 1 and checksum 0; repeated rows each get
-a slot; an empty table gives no rows; other columns are ignored (``write_shards`` keeps them).
+a slot; an empty table gives no rows; other columns are ignored (``write_shards`` keeps them, one named ``shard`` as
+``shard_``, as the folders bear that name).
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dendrovox.llm.common import small_side, table
+from dendrovox.llm.common import free_name, small_side, table
 from dendrovox.plans.iterate import materialize
 
 SHARDS, BITS = 16, 5
 DIMENSIONS = ("source", "lang", "n_chars")
-RANGES = 64
+#: Rows of a range of the last sort, about; at least MIN_RANGES ranges.
+RANGE_ROWS, MIN_RANGES = 100_000, 64
 
 
 def hilbert_index(axes: list[pd.Series], bits: int) -> pd.Series:
@@ -55,48 +57,57 @@ def hilbert_index(axes: list[pd.Series], bits: int) -> pd.Series:
     return pd.Series(out)
 
 
-def _number(docs: DataFrame, name: str) -> F.Column:
-    """A dimension as an order-preserving double; null stays null."""
-    if dict(docs.dtypes)[name] in ("string", "binary"):
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(name).cast("double")
+def _is_text(docs: DataFrame, name: str) -> bool:
+    return dict(docs.dtypes)[name] in ("string", "binary")
+
+
+def _ranked(df: DataFrame, order: list[str], rows: int, weight) -> DataFrame:
+    """``df`` with ``before``: the weight of the rows before it in ``order``; by ranges, each of which gets the total before it."""
+    ranged = materialize(df.repartitionByRange(max(MIN_RANGES, -(-rows // RANGE_ROWS)), *order).withColumn("part", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("part").agg(F.sum(weight).alias("weight"))  # a row for each range
+    before = totals.select("part", (F.sum("weight").over(Window.orderBy("part")) - F.col("weight")).alias("_before"))
+    within = F.sum(weight).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("_within", F.coalesce(within, F.lit(0))).join(F.broadcast(before), "part").withColumn("before", F.col("_before") + F.col("_within")).drop("part", "_before", "_within")
+
+
+def _text_buckets(plain: DataFrame, name: str, bits: int) -> DataFrame:
+    """``name, bucket`` of each different string."""
+    values = materialize(plain.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n")), "values")
+    rows, total = values.agg(F.count(F.lit(1)), F.sum("n")).first()
+    ranked = _ranked(values, [name], rows, F.col("n"))
+    return materialize(ranked.select(name, F.floor(F.col("before") * (1 << bits) / F.lit(total or 1)).cast("int").alias("bucket")), "buckets")
 
 
 def hilbert_keys(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """``doc_id, size, text_crc32, index`` of each row. Quantiles are over all rows (Greenwald-Khanna)."""
+    """``doc_id, size, text_crc32, index`` of each row. Quantiles are over all rows (of numbers by Greenwald and Khanna)."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long")
-    plain = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), *[_number(docs, d).alias(f"d{k}") for k, d in enumerate(dimensions)])
+    value = lambda d: F.col(d) if _is_text(docs, d) else F.col(d).cast("double")
+    plain = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), *[value(d).alias(f"d{k}") for k, d in enumerate(dimensions)])
     plain = materialize(plain, "metadata")
     share = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = plain.agg(*[F.percentile_approx(f"d{k}", share, 10_000) for k in range(len(dimensions))]).first()
-
-    def bucket(k: int) -> F.Column:
-        known = sorted(set(cuts[k] or []))
-        below = F.size(F.filter(F.array(*map(F.lit, known)), lambda c: c < F.col(f"d{k}"))) if known else F.lit(0)
-        return F.when(F.col(f"d{k}").isNull(), 0).otherwise(below).cast("int").alias(f"d{k}")
-
+    numbers = [k for k, d in enumerate(dimensions) if not _is_text(docs, d)]
+    cuts = plain.agg(F.lit(0), *[F.percentile_approx(f"d{k}", share, 10_000) for k in numbers]).first()
+    for k in range(len(dimensions)):
+        if k in numbers:
+            known = sorted(set(cuts[1 + numbers.index(k)] or []))
+            below = sum(((F.col(f"d{k}") > c).cast("int") for c in known), F.lit(0))
+            plain = plain.withColumn(f"b{k}", F.when(F.col(f"d{k}").isNull(), 0).otherwise(below).cast("int"))
+        else:
+            plain = plain.join(small_side(_text_buckets(plain, f"d{k}", bits).withColumnRenamed("bucket", f"b{k}")), f"d{k}", "left")
     place = F.pandas_udf(lambda *axes: hilbert_index(list(axes), bits), "long")
-    cell = plain.select(*[bucket(k) for k in range(len(dimensions))])
-    names = cell.columns
-    return plain.select("doc_id", "size", "text_crc32", *[bucket(k) for k in range(len(dimensions))]).select("doc_id", "size", "text_crc32", place(*names).alias("index"))
+    cell = plain.select("doc_id", "size", "text_crc32", *[F.coalesce(f"b{k}", F.lit(0)).alias(f"b{k}") for k in range(len(dimensions))])
+    return cell.select("doc_id", "size", "text_crc32", place(*[f"b{k}" for k in range(len(dimensions))]).alias("index"))
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
     """``doc_id, size, text_crc32, index, shard, slot`` of each row of ``docs``."""
-    order = ["index", "text_crc32", "doc_id"]
     keys = materialize(hilbert_keys(docs, dimensions, bits), "keys")
-    ranged = materialize(keys.repartitionByRange(RANGES, *order).withColumn("part", F.spark_partition_id()), "ranges")
-    totals = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))  # a row for each range
-    before = totals.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
-    ranked = ranged.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
-    rank = F.col("before") + F.col("within")
-    shard = F.floor(rank * shards / F.col("total"))
-    first = F.ceil(shard * F.col("total") / shards)
-    return ranked.join(F.broadcast(before), "part").select(
-        "doc_id", "size", "text_crc32", "index", shard.cast("int").alias("shard"), (rank - first).cast("long").alias("slot")
-    )
+    rows = keys.count()
+    ranked, total, rank = _ranked(keys, ["index", "text_crc32", "doc_id"], rows, F.lit(1)), F.lit(rows), F.col("before")
+    shard = F.floor(rank * shards / total)
+    first = F.ceil(shard * total / shards)
+    return ranked.select("doc_id", "size", "text_crc32", "index", shard.cast("int").alias("shard"), (rank - first).cast("long").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
@@ -105,8 +116,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: t
     A shard's rows are cut into ranges of slots, so no task holds a whole shard. doc_id must be unique here.
     """
     found = materialize(assign_shards(docs, shards, dimensions), "shards")
-    placed = docs.join(small_side(found.select("doc_id", F.col("shard"), F.col("slot").alias("_slot"))), "doc_id")
-    dealt = placed.repartitionByRange(4 * shards, "shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot")
+    rows = docs.withColumnRenamed("shard", "shard_") if "shard" in docs.columns else docs
+    slot = free_name(rows, "slot")
+    placed = rows.join(small_side(found.select("doc_id", "shard", F.col("slot").alias(slot))), "doc_id")
+    dealt = placed.repartitionByRange(4 * shards, "shard", slot).sortWithinPartitions("shard", slot).drop(slot)
     dealt.write.partitionBy("shard").parquet(path)
     return found
 

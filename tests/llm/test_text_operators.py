@@ -35,9 +35,10 @@ def hits(text, items, window=10):
     return len(words), len(hit), sorted(found)
 
 
-def test_decontamination_matches_brute_force(spark):
+@pytest.mark.parametrize("limit", [1, 500_000])
+def test_decontamination_matches_brute_force(spark, limit):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    found = rows_of(decontaminate.find_hits(documents(spark), items))
+    found = rows_of(decontaminate.find_hits(documents(spark), items, max_broadcast=limit))
     for doc_id, text, *_ in corpus():
         (r,) = found[doc_id]
         n, hit, names = hits(text, ITEMS)
@@ -47,6 +48,12 @@ def test_decontamination_matches_brute_force(spark):
     assert kept == {d for d, t, *_ in corpus() if not hits(t, ITEMS)[1]}
 
 
+def test_large_benchmarks_find_the_same(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = sorted(map(str, decontaminate.find_hits(documents(spark), items, max_broadcast=1).collect()))
+    assert got == sorted(map(str, decontaminate.find_hits(documents(spark), items).collect()))
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = documents(spark)
@@ -138,10 +145,14 @@ def test_stage_drops_all_similar_documents(spark):
     kept = corpus_pipeline.simhash_dedup(spark, documents(spark, rows), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d in cut if union.root(d) == d)
     assert simhash.drop_similar(documents(spark, [])).count() == 0
-    each, found = simhash.similar_pairs(documents(spark, rows), shard=2)
-    name = {r["id"]: cut[r["doc_id"]] for r in each.collect()}
-    want = {frozenset(map(frozenset, (cut[a], cut[b]))) for a, b in pairs if cut[a] != cut[b]}
-    assert {frozenset(map(frozenset, (name[r["a"]], name[r["b"]]))) for r in found.collect()} == want
+    groups = simhash.similar_groups(documents(spark, rows), shard=2).collect()
+    part = {}
+    for r in groups:
+        part.setdefault(r["part"], set()).add(r["doc_id"])
+    want = {}
+    for d in cut:
+        want.setdefault(union.root(d), set()).add(d)
+    assert sorted(map(sorted, part.values())) == sorted(map(sorted, want.values()))
 
 
 def naive_lines(rows):
@@ -169,7 +180,7 @@ def edited_rows():
 
 @pytest.mark.parametrize("bucket", [3, 64])
 def test_line_dedup_matches_brute_force(spark, bucket):
-    rows = [r for r in corpus() if r[0] < 60] + edited_rows()
+    rows = corpus() + edited_rows()
     got = line_dedup.dedup_lines(documents(spark, rows), bucket).collect()
     assert {r["doc_id"]: r["text"] for r in got} == naive_lines(rows)
     assert all(r["n_chars"] == len(r["text"]) for r in got if r["text"] and r["doc_id"] >= 100)
@@ -219,10 +230,16 @@ def test_line_dedup_links_lines_of_several_edits(spark, bucket):
     texts = sorted({x for _, t, *_ in rows for x in t.split("\n")})
     want = {(a, b) for a in texts for b in texts if a < b and line_dedup.within_edits(a, b, min(5, min(len(a), len(b)) // 20))}
     assert {distance(a, b) for a, b in sorted(want)[::5]} == {1, 2, 3, 4, 5}
-    index = line_dedup.index_lines(documents(spark, rows)).localCheckpoint()
-    name = {r["id"]: r["line"] for r in index.collect()}
-    found = [tuple(sorted((name[r["a"]], name[r["b"]]))) for r in line_dedup.edit_links(index, bucket).collect()]
-    assert len(found) == len(set(found)) and set(found) == want
+    index = line_dedup.index_lines(documents(spark, rows))
+    name = {r["k"]: r["line"] for r in index.collect()}
+    found = {tuple(sorted((name[r["a"]], name[r["b"]]))) for r in line_dedup.edit_links(index, bucket, block=20).collect()}
+    parts, all_parts = Union(texts), Union(texts)
+    for a, b in found:
+        parts.join(a, b)
+    for a, b in want:
+        all_parts.join(a, b)
+    assert found <= want and (bucket < 64 or found == want)
+    assert [parts.root(x) for x in texts] == [all_parts.root(x) for x in texts]
     got = line_dedup.dedup_lines(documents(spark, rows), bucket).collect()
     assert {r["doc_id"]: r["text"] for r in got} == naive_lines(rows)
 
@@ -306,7 +323,7 @@ def test_hilbert_curve_visits_neighbours(dims, bits):
 
 def test_written_shards_hold_all_rows(spark, tmp_path):
     rows = corpus()
-    shards.write_shards(documents(spark, rows, extra=False), f"file://{tmp_path}/shards", 4)
+    shards.write_shards(documents(spark, rows), f"file://{tmp_path}/shards", 4)
     back = spark.read.parquet(f"file://{tmp_path}/shards")
     assert sorted(r["doc_id"] for r in back.collect()) == sorted(r[0] for r in rows)
 
@@ -321,16 +338,35 @@ def reference_encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(byte_bpe.RANKS), special_tokens={})
 
 
-@pytest.mark.parametrize("broadcast", [byte_bpe.MAX_BROADCAST_WORDS, 50])
-def test_byte_bpe_round_trip(spark, broadcast):
-    enc, rows = reference_encoding(), [*corpus()[:40], (99, "a" * 5000 + " '" + "'ll" * 20 + "x́̂" * 50, "en", "a", 1)]
-    encoded = byte_bpe.encode_documents(documents(spark, rows), max_broadcast=broadcast)
+def thue_morse(n, a, b):
+    """Runs whose polynomial hashes modulo a power of two are equal to those of their complements."""
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+COLLIDING = [(901 + k, t, "en", "a", 1) for k, t in enumerate([thue_morse(2048, *"ab"), thue_morse(2048, *"ba"), "x " + thue_morse(1024, *"ko") + " " + thue_morse(1024, *"ok"), thue_morse(4096, *"xy"), thue_morse(4096, *"yx")])]
+
+
+@pytest.mark.parametrize("block", [60, byte_bpe.BLOCK])
+def test_byte_bpe_round_trip(spark, block):
+    enc, rows = reference_encoding(), [*corpus(), (99, "a" * 5000 + " '" + "'ll" * 20 + "x́̂" * 50 + " " + "a" * 37 + " " + "ab" * 60, "en", "a", 1), *COLLIDING]
+    encoded = byte_bpe.encode_documents(documents(spark, rows), block=block)
     decoded = rows_of(byte_bpe.decode_documents(encoded))
     for doc_id, text, *_ in rows:
         assert decoded[doc_id][0]["ids"] == enc.encode_ordinary(text or ""), doc_id
         assert bytes(decoded[doc_id][0]["decoded"]) == (text or "").encode()
 
 
+def test_colliding_pieces_have_their_own_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(token_files.TOKENIZER), token_counts.tokenizer(token_counts.RANKS)
+    files = rows_of(token_files.write_token_files(documents(spark, COLLIDING), f"file://{tmp_path}/ids"))
+    trees = rows_of(token_counts.build_trees(documents(spark, COLLIDING)))
+    for doc_id, text, *_ in COLLIDING:
+        assert files[doc_id][0]["ids"][:-1] == tok.encode(text, add_special_tokens=False).ids
+        assert sum(trees[doc_id][0]["tokens"]) == len(enc.encode_ordinary(text))
+
+
 def test_byte_bpe_digests_and_empty_table(spark):
     (r,) = byte_bpe.digests(documents(spark, corpus()[3:4])).collect()
     ids = reference_encoding().encode_ordinary(corpus()[3][1])
