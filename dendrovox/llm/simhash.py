@@ -15,7 +15,7 @@ fingerprint; empty input gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -192,10 +192,23 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 SIMILAR, WORDS = 0.8, 5
 #: Shingles that a task met in so many documents may be among the MOST_COMMON, which are broadcast to order the others before them.
 COMMON_AT, MOST_COMMON, COUNTED = 8, 100_000, 1 << 20
+#: Least hashes that are compared before whole sets, and how far below ``SIMILAR`` their share may be (six deviations).
+FIRST, SLACK = 64, 0.3
+
+
+def pack(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes, six bytes each."""
+    return (hashes >> np.uint64(16)).astype(np.uint32).tobytes() + (hashes >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n = len(packed) // 6
+    return np.frombuffer(packed, np.uint32, n).astype(np.uint64) | np.frombuffer(packed, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``k, doc_id, fp, h, g, size, hashes`` of each row: its number, fingerprint, the 128 bits that name its set of shingles, and the set."""
+    """``k, doc_id, fp, h, g, size, hashes, first`` of each row: its number, fingerprint, the 128 bits that name its set of
+    shingles, the set (48 bits of each hash) and the upper halves of its ``FIRST`` least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -205,32 +218,47 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             sets = [np.unique(h) for h in all_of]
             names = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64) for x in sets]).reshape(-1, 2)
             fp = np.array([majority(h) for h in all_of], np.uint64).view(np.int64)
+            first = [(x[:FIRST] >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(fp), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, sets), pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                ["doc_id", "fp", "h", "g", "size", "hashes"],
+                [b["doc_id"], pa.array(fp), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, sets), pa.int32()), pa.array(map(pack, sets), pa.binary()), pa.array(first, pa.binary())],
+                ["doc_id", "fp", "h", "g", "size", "hashes", "first"],
             )
 
-    found = docs.select("doc_id", "text").mapInArrow(run, ddl(docs, ["doc_id"], "fp long, h long, g long, size int, hashes binary"))
+    found = docs.select("doc_id", "text").mapInArrow(run, ddl(docs, ["doc_id"], "fp long, h long, g long, size int, hashes binary, first binary"))
     return materialize(found.select(F.monotonically_increasing_id().alias("k"), "*"), "sketches")
 
 
-def similar_of(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs ``a, b`` (of ``k`` of ``sets``) whose sets are similar."""
-    pairs = materialize(pairs.distinct(), "candidates")
+def first_share(x: bytes, y: bytes) -> float:
+    """Estimate of the similarity of two sets by the least hashes of their union."""
+    x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    least = np.union1d(x, y)[:FIRST]
+    return float((np.isin(least, x) & np.isin(least, y)).mean())
+
+
+def set_share(x: bytes, y: bytes) -> float:
+    x, y = unpack(x), unpack(y)
+    both = len(np.intersect1d(x, y))
+    return both / (len(x) + len(y) - both)
+
+
+def _where_alike(pairs: DataFrame, sets: DataFrame, column: str, share: Callable[[bytes, bytes], float], least: float) -> DataFrame:
+    """The pairs ``a, b`` (of ``k`` of ``sets``) for which ``share`` of the column is at least ``least``."""
     need = materialize(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct(), "need")
-    whole = materialize(sets.select("k", "hashes").join(small_side(need), "k", "left_semi"), "whole")
-    named = pairs.join(whole.select(F.col("k").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("k").alias("b"), F.col("hashes").alias("y")), "b")
+    held = materialize(sets.select("k", column).join(small_side(need), "k", "left_semi"), "held")
+    named = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
-            ok = []
-            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
+            ok = [share(x, y) >= least - 1e-9 for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return materialize(named.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+    return materialize(named.mapInArrow(run, "a long, b long"), "alike")
+
+
+def similar_of(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs whose sets are similar: by their least hashes, with slack, then by the whole sets."""
+    some = _where_alike(materialize(pairs.distinct(), "candidates"), sets, "first", first_share, similar - SLACK)
+    return _where_alike(some, sets, "hashes", set_share, similar)
 
 
 def common_shingles(sets: DataFrame) -> np.ndarray:
@@ -244,7 +272,7 @@ def common_shingles(sets: DataFrame) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(h[n >= COMMON_AT].view(np.int64)), pa.array(n[n >= COMMON_AT])], ["hash", "n"])
 
         for b in slices(batches):
-            held += [np.frombuffer(x, np.uint64) for x in b["hashes"].to_pylist()]
+            held += map(unpack, b["hashes"].to_pylist())
             size = sum(map(len, held))
             if size >= COUNTED:
                 yield counted()
@@ -264,7 +292,7 @@ def prefixes(sets: DataFrame, common: np.ndarray, similar: float) -> DataFrame:
         for b in slices(batches):
             keys = []
             for x in b["hashes"].to_pylist():
-                h = np.frombuffer(x, np.uint64)
+                h = unpack(x)
                 at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
                 often = common[at] == h if len(common) else np.zeros(len(h), bool)
                 keys.append(np.append(h[~often], h[often])[: len(h) - int(np.ceil(similar * len(h) - 1e-9)) + 1])
