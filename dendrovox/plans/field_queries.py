@@ -325,7 +325,7 @@ def pairs(spark, d):
 
 
 #: A segmentation that is dense in every other volume and sparse in the rest; the ground truth is alike in all.
-SPARSE_SEG = "select *, case when volume_id % 2 = 0 or pred >= 0.85 then pred else 0 end as seg from f_pair"
+SPARSE_SEG = "select *, case when volume_id % 2 = 1 or pred >= 0.85 then pred else 0 end as seg from f_pair"
 FIT = f"fit as (select volume_id from ({SPARSE_SEG}) group by 1 having sum(seg) <= 0.05 * 12 * 24 * 24)"
 SEG_WALK = f"tm as (select t.*, coalesce(p.pred, 0) as pred, max(case when coalesce(p.seg, 0) < 0.5 then 1 else 0 end) over (partition by t.volume_id, path_id order by step desc rows between unbounded preceding and current row) as from_break from tr t left join ({SPARSE_SEG}) p on t.volume_id = p.volume_id and t.k = p.z * 576 + p.y * 24 + p.x)"
 
@@ -335,7 +335,7 @@ per as (select volume_id, path_id, (sum(greatest(0.5 - pred, 0)) + 1e-6) * (sum(
 los as (select volume_id, sum(part) as loss from per group by 1)
 select v.volume_id, round(coalesce(case when s.k > 0 and v.volume_id in (select volume_id from fit) then loss end, 0), 6) as loss from f_volume v left join los using (volume_id) left join f_source s using (volume_id)""")
 def l02(spark, d):
-    seg = fixture(spark, d, "f_pair").withColumn("seg", F.when((F.col("volume_id") % 2 == 0) | (F.col("pred") >= 0.85), F.col("pred")).otherwise(0.0))
+    seg = fixture(spark, d, "f_pair").withColumn("seg", F.when((F.col("volume_id") % 2 == 1) | (F.col("pred") >= 0.85), F.col("pred")).otherwise(0.0))
     return L.path_loss(seg, pred(spark, d), centers_as_places(spark, d), dims(spark, d)).withColumn("loss", r6("loss"))
 
 
