@@ -185,7 +185,7 @@ def word_blocks(docs: DataFrame, ranks: dict[bytes, int], known: RankMap, block:
 
         def close() -> pa.RecordBatch:
             ends = np.cumsum(np.concatenate([[0], *(np.diff(n) for _, n in held)]))
-            each = pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x for x, _ in held]).astype(np.int32)))], ["doc_id", "words"])
+            each = pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x for x, _ in held])))], ["doc_id", "words"])
             some = pa.concat_arrays(words)
             return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(each)], each), pa.ListArray.from_arrays([0, len(some)], some)], ["docs", "words"])
 
@@ -196,7 +196,7 @@ def word_blocks(docs: DataFrame, ranks: dict[bytes, int], known: RankMap, block:
                 found, new = numbers.number(joined, code, first, end, hashed)
                 words.append(ranked([joined[first[i] : end[i]].encode() for i in new.tolist()]))
                 ids.append(b["doc_id"].slice(at, len(some)))
-                held.append((found, before))
+                held.append((found.astype(np.int32), before))
                 at, chars = at + len(some), chars + len(joined)
                 if chars >= block:
                     yield close()

@@ -159,8 +159,11 @@ def _array(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def build_trees(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """The columns of ``docs`` (``doc_id, text`` and maybe ``edits``) with the tree's: ``chars, tokens, blocks, sums``."""
-    names = [c for c in ("doc_id", "text", "edits") if c in docs.columns]
+    """The columns of ``docs`` (``doc_id, text`` and maybe ``edits``) with the tree's: ``chars, tokens, blocks, sums``.
+
+    A column that bears the name ``edits`` but is of another type than ``EDITS`` is ignored.
+    """
+    names = ["doc_id", "text", *(["edits"] if dict(docs.dtypes).get("edits") == EDITS else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizer(ranks)

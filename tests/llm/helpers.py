@@ -41,7 +41,7 @@ def documents(spark, rows=None, extra: bool = True):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(corpus() if rows is None else rows, SCHEMA)
-    clash = ("fp", "component", "id", "key", "n", "y", "x", "score", "piece", "ids", "shard", "slot", "size", "hash", "gone")
+    clash = ("fp", "component", "id", "key", "n", "y", "x", "score", "piece", "ids", "shard", "slot", "size", "hash", "gone", "_gone", "_gone_lines", "_key", "edits", "words", "docs", "line", "k", "part", "w", "t")
     return df.select("*", *[F.lit("clash").alias(c) for c in clash]) if extra else df
 
 

@@ -386,7 +386,7 @@ def test_token_counts_follow_edits(spark):
         some = [(int(rnd.integers(-2, n + 5)), int(rnd.integers(0, 9)), str(rnd.choice(["", " ", "x", "'s", " new words\n\n", "é 12 ", "  "]))) for _ in range(6)]
         edits.append((doc_id, some if doc_id % 9 else None))
     schema = f"doc_id long, edits {token_counts.EDITS}"
-    both = documents(spark, rows, extra=False).join(spark.createDataFrame(edits, schema), "doc_id")
+    both = documents(spark, rows).drop("edits").join(spark.createDataFrame(edits, schema), "doc_id")
     got = rows_of(token_counts.apply_edits(token_counts.build_trees(both)))
     for (doc_id, text, *_), (_, some) in zip(rows, edits, strict=True):
         r, now = got[doc_id][0], text or ""
@@ -398,6 +398,7 @@ def test_token_counts_follow_edits(spark):
         assert r["n_tokens"] == len(enc.encode_ordinary(now)) == sum(r["tokens"]), doc_id
         assert sum(r["chars"]) == len(now)
     assert got[60][0]["n_reencoded"] < 2000  # of a text of 30,000 words
+    assert token_counts.build_trees(documents(spark, rows[:4])).count() == 4  # its edits are of another type
     assert token_counts.apply_edits(token_counts.build_trees(token_counts.derived_edits(documents(spark, [])))).count() == 0
 
 
