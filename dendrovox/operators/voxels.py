@@ -200,13 +200,9 @@ def grow_to_size(mask: DataFrame, volumes: DataFrame, min_voxels: int = 100, key
 
 
 def invert_distance_uint8(dist: DataFrame, volumes: DataFrame, value: str = "dist", keys=KEYS) -> DataFrame:
-    """``max - d`` on the foreground, scaled to 0..255 and truncated; the background counts as 0 for the minimum."""
-    box = F.col("depth").cast("long") * F.col("height") * F.col("width")
-    s = per_volume(dist, keys, _top=F.max(value), _low=F.max(value) - F.max(value), _span=F.max(value) - F.min(value), _n=F.count(F.lit(1)))
-    s = s.join(volumes.select(*keys, box.alias("_box")), list(keys))
-    v = F.col("_top") - F.col(value)
-    low = F.when(F.col("_n") < F.col("_box"), 0.0).otherwise(F.col("_low"))
-    new = F.when(F.col("_span") - low > 0, F.floor((v - low) / (F.col("_span") - low) * 255)).otherwise(0)
+    """``max - d`` on the foreground, scaled to 0..255 and truncated; the least is 0, at the maximum and in the background."""
+    s = per_volume(dist, keys, _top=F.max(value), _span=F.max(value) - F.min(value)).join(volumes.select(*keys), list(keys), "left_semi")
+    new = F.when(F.col("_span") > 0, F.floor((F.col("_top") - F.col(value)) / F.col("_span") * 255)).otherwise(0)
     return s.select(*_place(keys), new.cast("int").alias("inverted"))
 
 

@@ -123,7 +123,9 @@ def write_spacing(catalog: DataFrame, path: str) -> None:
 
 
 def save_predecessor(pred: DataFrame, path: str) -> None:
-    pred.where("pred_code <> -1").select("volume_id", "z", "y", "x", "pred_code").write.mode("overwrite").partitionBy("volume_id").parquet(path)
+    """A folder for each volume, a file for each 64 planes of it."""
+    found = pred.where("pred_code <> -1").select("volume_id", "z", "y", "x", "pred_code")
+    found.repartition("volume_id", F.floor(F.col("z") / 64)).write.mode("overwrite").partitionBy("volume_id").parquet(path)
 
 
 def load_predecessor(spark: SparkSession, path: str) -> DataFrame:
@@ -131,7 +133,8 @@ def load_predecessor(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_paths(paths: DataFrame, path: str) -> None:
-    paths.write.mode("overwrite").partitionBy("volume_id").parquet(path)
+    """A folder for each volume, of four files at most."""
+    paths.repartition("volume_id", F.pmod(F.xxhash64("path_id"), F.lit(4))).write.mode("overwrite").partitionBy("volume_id").parquet(path)
 
 
 def load_paths(spark: SparkSession, path: str) -> DataFrame:
