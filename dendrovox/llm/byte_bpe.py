@@ -32,7 +32,7 @@ from dendrovox.llm.pieces import Numbers, chunks, split
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters in a block, about: words are merged once a block.
-BLOCK = 24_000_000
+BLOCK = 16_000_000
 MAX_FOLD_BYTES = 256
 
 
