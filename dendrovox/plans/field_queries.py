@@ -333,7 +333,7 @@ SEG_WALK = f"tm as (select t.*, coalesce(p.pred, 0) as pred, max(case when coale
 @register("l02_path_loss", f"""with recursive {FIT}, {comp_sql(f'select volume_id, z, y, x from ({SPARSE_SEG}) where seg >= 0.5 and volume_id in (select volume_id from fit)', 26)}, {geo_sql(M.format(200))}, {pred_sql()}, {drawn_sql(MISSED, 10)}, {trace_sql()}, {SEG_WALK},
 per as (select volume_id, path_id, (sum(greatest(0.5 - pred, 0)) + 1e-6) * (sum((1 - pred) * from_break) + 1e-6) / (0.5 * count(*) * count(*)) as part from tm group by 1, 2),
 los as (select volume_id, sum(part) as loss from per group by 1)
-select v.volume_id, round(coalesce(case when s.k > 0 and v.volume_id in (select volume_id from fit) then loss end, 0), 6) as loss from f_volume v left join los using (volume_id) left join f_source s using (volume_id)""")
+select v.volume_id, round(coalesce(case when s.k > 0 and v.volume_id in (select volume_id from fit) then loss end, 0), 6) as loss from f_volume v left join los using (volume_id) left join f_source s using (volume_id)""", slow=True)
 def l02(spark, d):
     seg = fixture(spark, d, "f_pair").withColumn("seg", F.when((F.col("volume_id") % 2 == 1) | (F.col("pred") >= 0.85), F.col("pred")).otherwise(0.0))
     return L.path_loss(seg, pred(spark, d), centers_as_places(spark, d), dims(spark, d)).withColumn("loss", r6("loss"))

@@ -220,3 +220,15 @@ def test_swc_text_round_trip(spark, tmp_path):
     (tmp_path / "a.swc").write_text("# a comment\n\n 1 3 1.5 2 3 1 -1\n2  3 4 5 6 1 1\n")
     rows = S.read_swc(spark, f"file://{tmp_path}/*.swc").orderBy("n").collect()
     assert [(r["n"], r["x"], r["parent"]) for r in rows] == [(1, 1.5, -1), (2, 4.0, 1)]
+
+
+def test_path_loss_guards_on_the_segmentation(spark):
+    line, source = [(6, 12, x) for x in range(2, 22)], [(6, 12, 2)]
+    mask, at = mask_of(spark, line, line), mask_of(spark, source, source)
+    codes = G.predecessor(G.geodesic_distance(mask, at, 26), 26)
+    rows = [(v, *p, 1, 0.2, 1.0 if p[2] < 5 else 0.0) for v in (0, 1) for p in line]
+    rows += [(1, z, y, x, 0, 0.0, 1.0) for z in (0, 1) for y in range(24) for x in range(24)]  # dense, apart from the line
+    pairs = spark.createDataFrame(rows, f"{PLACE}, gt int, pred double, seg double")
+    loss = {r["volume_id"]: r["loss"] for r in L.path_loss(pairs, codes, at, dims_of(spark, 2)).collect()}
+    assert loss[0] > 0 and loss[1] == 0
+    assert L.path_loss(pairs, codes, at, dims_of(spark, 2), max_density=1.0).where("loss > 0").count() == 2
