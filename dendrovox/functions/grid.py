@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 AXES = ("z", "y", "x")
 KEYS = ("volume_id",)
+#: Voxels along a tile's side, and the columns that name a tile.
+TILE = 32
+TILES = ("tz", "ty", "tx")
 Offset = tuple[int, int, int]
 
 
@@ -67,3 +70,8 @@ def inside(df: DataFrame, volumes: DataFrame, keys=KEYS) -> DataFrame:
     bound = df.join(volumes.select(*keys, "depth", "height", "width"), list(keys))
     ok = reduce(lambda a, b: a & b, [(F.col(a) >= 0) & (F.col(a) < F.col(d)) for a, d in zip(AXES, ("depth", "height", "width"), strict=True)])
     return bound.where(ok).drop("depth", "height", "width")
+
+
+def ddl(df: DataFrame, names, more: str = "") -> str:
+    """A schema of some columns of ``df`` and ``more`` columns."""
+    return ", ".join([*(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names), *filter(None, [more])])

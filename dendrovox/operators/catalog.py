@@ -39,9 +39,12 @@ def spacing_from_name(names: DataFrame) -> DataFrame:
 
 
 def spacing_lookup(names: DataFrame, raw_info: DataFrame, strict: bool = False) -> DataFrame:
-    """``names`` with ``spacing``, by ``number`` = id; (1, 1, 1) where it is unknown, or no row if ``strict``."""
-    known = raw_info.select(F.col("number").alias("id"), "resolution")
-    at = names.join(known, "id", "inner" if strict else "left")
+    """``names`` with ``spacing``, by ``number`` = what stands before the name's first dot, as a number; (1, 1, 1) where it is
+    unknown or no number, or no row if ``strict`` (which takes whole numbers only).
+    """
+    known = raw_info.select(F.col("number").cast("double").alias("_number"), "resolution")
+    number = F.trim(F.split("name", r"\.")[0]).try_cast("long" if strict else "double").cast("double")
+    at = names.withColumn("_number", number).join(known, "_number", "inner" if strict else "left")
     r = F.coalesce(F.col("resolution") / 1000, F.lit(1.0))
     return at.select(*names.columns, F.struct(F.lit(1.0).alias("z"), r.alias("y"), r.alias("x")).alias("spacing"))
 

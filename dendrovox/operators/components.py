@@ -5,10 +5,14 @@ Component ids are the least linear index (raster order) of the component, so "fi
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendrovox.functions.grid import AXES, KEYS, flip_y, linear, neighbours, shifted
+from dendrovox.functions.grid import AXES, KEYS, TILE, TILES, ddl, flip_y, linear, neighbours, shifted
 from dendrovox.operators import voxels as V
 from dendrovox.plans.iterate import connected_components as components_of_edges
 from dendrovox.plans.iterate import materialize
@@ -18,17 +22,55 @@ def _place(keys) -> list[str]:
     return [*keys, *AXES]
 
 
+def _label_tile(offsets):
+    """A function that labels one tile's voxels: ``part`` is the least index ``k`` of the voxel's component within the tile."""
+    wide = TILE + 2
+    steps = np.array([(dz * wide + dy) * wide + dx for dz, dy, dx in offsets])
+
+    def label(voxels: pa.Table) -> pa.Table:
+        voxels = voxels.sort_by("k")
+        spot = np.zeros(len(voxels), np.int64)
+        for a in AXES:
+            spot = spot * wide + voxels[a].to_numpy() % TILE + 1
+        grid = np.full(wide**3, -1, np.int32)
+        grid[spot] = np.arange(len(spot))
+        met = grid[spot[:, None] + steps[None, :]]
+        one, step = np.nonzero(met >= 0)
+        other = met[one, step]
+        up = np.arange(len(spot))
+        while True:
+            a, b = up[one], up[other]
+            apart = a != b
+            if not apart.any():
+                break
+            np.minimum.at(up, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            while (over := up[up] != up).any():
+                up[over] = up[up[over]]
+        return voxels.append_column("part", pa.array(voxels["k"].to_numpy()[up]))
+
+    return label
+
+
 def connected_components(mask: DataFrame, volumes: DataFrame, connectivity: int = 26, keys=KEYS) -> DataFrame:
-    """The mask with ``component_id`` (6 or 26 neighbours). ``keys`` may hold more than the volume's."""
+    """The mask with ``component_id`` (6 or 26 neighbours). ``keys`` may hold more than the volume's.
+
+    Two levels: a task labels a tile; then only the labels that touch across tile borders are contracted.
+    """
     on = [k for k in keys if k in volumes.columns]
-    m = mask.select(*_place(keys)).join(volumes.select(*on, "height", "width"), on).select(*_place(keys), linear().alias("k"))
-    m = materialize(m, "voxels")
+    tile = [F.floor(F.col(a) / TILE).cast("int").alias(t) for a, t in zip(AXES, TILES, strict=True)]
+    m = mask.select(*_place(keys)).join(volumes.select(*on, "height", "width"), on).select(*_place(keys), linear().cast("long").alias("k"), *tile).distinct()
     half = [o for o in neighbours(connectivity) if o > (0, 0, 0)]
-    met = shifted(m, half, [*keys, "k"]).withColumnRenamed("k", "from").join(m, _place(keys))
+    schema = ddl(m, m.columns, "part long")
+    m = materialize(m.groupBy(*keys, *TILES).applyInArrow(_label_tile(half), schema), "voxels")
+    inner = [F.col(a) % TILE for a in AXES]
+    rim = m.where(reduce(lambda a, b: a | b, [(i == 0) | (i == TILE - 1) for i in inner]))
+    ahead = shifted(rim, half, [*keys, *TILES, "part"])
+    ahead = ahead.where(reduce(lambda a, b: a | b, [F.floor(F.col(a) / TILE) != F.col(t) for a, t in zip(AXES, TILES, strict=True)]))
+    met = ahead.select(*_place(keys), F.col("part").alias("from")).join(rim.select(*_place(keys), "part"), _place(keys))
     node = lambda k: F.struct(*keys, F.col(k).alias("k"))
-    parts = components_of_edges(met.select(node("from").alias("a"), node("k").alias("b")))
-    named = parts.select(*[F.col(f"node.{k}").alias(k) for k in keys], "node.k", F.col("component.k").alias("component_id"))
-    return m.join(named, [*keys, "k"], "left").select(*_place(keys), F.coalesce("component_id", "k").alias("component_id"))
+    parts = components_of_edges(met.select(node("from").alias("a"), node("part").alias("b")))
+    named = parts.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.k").alias("part"), F.col("component.k").alias("component_id"))
+    return m.join(named, [*keys, "part"], "left").select(*_place(keys), F.coalesce("component_id", "part").alias("component_id"))
 
 
 def component_sizes(labelled: DataFrame, keys=KEYS) -> DataFrame:
@@ -140,8 +182,9 @@ def multi_soma_region(mask: DataFrame, markers: DataFrame, volumes: DataFrame, k
 
 
 def main_soma_region(mask: DataFrame, markers: DataFrame, volumes: DataFrame, radius: float = 25, keys=KEYS) -> DataFrame:
-    """The cell body within ``radius`` of the volume's marker (full-resolution ``z, y, x``)."""
-    centers = markers.select(*keys, *[(F.col(a) / 2).alias(f"c{a}") for a in AXES])
+    """The cell body within ``radius`` of the volume's marker (full-resolution ``z, y, x``, halved and truncated)."""
+    half = lambda a: F.when(F.col(a) >= 0, F.floor(F.col(a) / 2)).otherwise(F.ceil(F.col(a) / 2))
+    centers = markers.select(*keys, *[half(a).cast("int").alias(f"c{a}") for a in AXES])
     field = distance_to_background(mask, volumes, keys=keys)
     near = V.zero_outside_sphere(field, centers, radius, "dist", keys).where("dist > 0")
     region = V.mask_and(V.dilate(V.binarize(near, "max_frac", 0.5, "dist", keys), volumes, 5, keys), mask, keys)

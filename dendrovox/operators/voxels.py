@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendrovox.functions.grid import AXES, KEYS, ball, cross, inside, shifted
-from dendrovox.plans.iterate import materialize, release
+from dendrovox.operators import runs as R
+from dendrovox.plans.iterate import Versions, materialize
 
 #: Fixed rule of the lattice: the two axes that a projection keeps.
 PLANES = {"xy": ("y", "x"), "xz": ("z", "x"), "yz": ("z", "y")}
@@ -90,55 +91,38 @@ def mask_sub(a: DataFrame, b: DataFrame, keys=KEYS) -> DataFrame:
 
 def dilate(mask: DataFrame, volumes: DataFrame, iterations: int = 1, keys=KEYS, offsets=None) -> DataFrame:
     """Dilation by ``iterations`` crosses (or the given offsets), within the volume."""
-    moved = shifted(mask, offsets or cross(iterations), list(keys)).select(*_place(keys)).distinct()
-    return inside(moved, volumes, keys)
+    grown = R.dilate(R.of_mask(mask, keys), volumes, offsets or cross(iterations), keys)
+    return R.to_mask(grown, keys)
 
 
 def erode(mask: DataFrame, offsets, keys=KEYS) -> DataFrame:
     """Places all of whose offsets are foreground; outside the volume is background."""
-    back = [tuple(-c for c in o) for o in offsets]
-    met = shifted(mask, back, list(keys)).groupBy(*_place(keys)).agg(F.count(F.lit(1)).alias("_n"))
-    return met.where(F.col("_n") == len(offsets)).select(*_place(keys))
+    return R.to_mask(R.erode(R.of_mask(mask, keys), offsets, keys), keys)
 
 
 def open_mask(mask: DataFrame, volumes: DataFrame, radius: float, keys=KEYS) -> DataFrame:
     """Opening by a ball: erosion, then dilation."""
-    return dilate(erode(mask, ball(radius), keys), volumes, keys=keys, offsets=ball(radius))
-
-
-def _open_by_volume(mask: DataFrame, radii: DataFrame, volumes: DataFrame, most: float, keys) -> DataFrame:
-    """Opening where each volume has its own ball radius (column ``r``, at most ``most``), by two distance transforms.
-
-    A voxel survives the erosion if no background, nor the layer around the volume, is within the radius; the
-    dilation takes all within the radius of a survivor. So the cost does not grow with the ball's volume.
-    """
-    wide = volumes.select(*keys, *[(F.col(d) + 2).alias(d) for d in ("depth", "height", "width")])
-    moved = mask.select(*keys, *[(F.col(a) + 1).alias(a) for a in AXES])
-    outside = _grid(wide, keys).join(moved, _place(keys), "left_anti")
-    near = squared_distance(outside, wide, most, keys).join(radii, list(keys)).where(F.col("d2") <= F.col("r") * F.col("r"))
-    eroded = moved.join(near, _place(keys), "left_anti")
-    grown = squared_distance(eroded, wide, most, keys).join(radii, list(keys)).where(F.col("d2") <= F.col("r") * F.col("r"))
-    return grown.select(*keys, *[(F.col(a) - 1).alias(a) for a in AXES])
+    eroded = R.erode(R.of_mask(mask, keys), ball(radius), keys)
+    return R.to_mask(R.dilate(eroded, volumes, ball(radius), keys), keys)
 
 
 def progressive_open(mask: DataFrame, volumes: DataFrame, keys=KEYS) -> DataFrame:
-    """Ten openings by shrinking balls, each applied if it leaves anything of its volume.
+    """Ten openings by shrinking balls (``runs.ball_rows``), each applied if it leaves anything of its volume.
 
     The radius starts at half the least extent of the largest 6-component and falls by a tenth of that. All volumes
-    share each round; the loop runs over ten radii, not over volumes.
+    share each round; the loop runs over ten radii, not over volumes. A round writes the volumes that it opened; one
+    whose balls have become too small for a voxel takes no part any more.
     """
     sizes = materialize(min_diameter(mask, volumes, keys), "diameters")
-    most = (sizes.agg(F.max("min_diameter")).first()[0] or 0) / 2
-    now = materialize(mask.select(*_place(keys)), "mask")
+    state = Versions(keys, "opened")
+    state.put(R.of_mask(mask, keys))
     for i in range(10):
-        radii = sizes.select(*keys, (F.col("min_diameter") * (10 - i) / 10 / 2).cast("double").alias("r"))
-        opened = materialize(_open_by_volume(now, radii, volumes, most * (10 - i) / 10, keys), "mask")
-        left = now.join(opened.select(*keys).distinct(), list(keys), "left_anti")
-        after = materialize(opened.union(left), "mask")
-        release(now)
-        release(opened)
-        now = after
-    return now
+        radii = sizes.select(*keys, (F.col("min_diameter") * (10 - i) / 10 / 2).cast("double").alias("r")).where("r >= 1")
+        if radii.isEmpty():
+            break
+        balls = materialize(R.ball_rows(radii), "balls")
+        state.put(R.open_by_radius(state.now(radii.select(*keys)), radii, balls, keys))
+    return R.to_mask(state.now(), keys)
 
 
 def crop(mask: DataFrame, keys=KEYS) -> tuple[DataFrame, DataFrame]:
@@ -183,20 +167,20 @@ def stamp_ball(mask: DataFrame, centers: DataFrame, volumes: DataFrame, radius:
 
 def grow_to_size(mask: DataFrame, volumes: DataFrame, min_voxels: int = 100, keys=KEYS) -> DataFrame:
     """Each object (``keys`` may include its id) dilated by one step until it has ``min_voxels``; empty or stuck ones stop."""
-    volume_keys = [k for k in keys if k in volumes.columns]
-    now, seen = materialize(mask.select(*_place(keys)), "mask"), None
+    count = lambda runs: runs.groupBy(*keys).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("_n"))
+    state = Versions(keys, "grown")
+    last = state.put(R.of_mask(mask, keys))
+    before = None
     while True:
-        sizes = now.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        short = materialize(sizes.where(F.col("_n") < min_voxels), "short")
-        state = short.agg(F.count(F.lit(1)), F.sum("_n")).first()
-        if not state[0] or state == seen:
-            return now
-        seen = state
-        grown = shifted(now.join(short.select(*keys), list(keys), "left_semi"), cross(1), list(keys)).select(*_place(keys)).distinct()
-        grown = inside(grown, volumes, volume_keys).select(*_place(keys))
-        after = materialize(grown.union(now.join(short.select(*keys), list(keys), "left_anti")), "mask")
-        release(now)
-        now = after
+        sizes = count(last).where(F.col("_n") < min_voxels)
+        short = sizes if before is None else sizes.join(before, list(keys)).where("_n > _before").drop("_before")
+        short = materialize(short, "short")
+        if short.isEmpty():
+            return R.to_mask(state.now(), keys)
+        grown = state.now(short.select(*keys)).withColumn("_r", F.explode(R.literal_rows(R.rows_of(cross(1)))))
+        spread = R.within(R.moved(grown, 1, keys), volumes, keys)
+        before = short.select(*keys, F.col("_n").alias("_before"))
+        last = state.put(R.covered(spread, F.lit(1), keys))
 
 
 def invert_distance_uint8(dist: DataFrame, volumes: DataFrame, value: str = "dist", keys=KEYS) -> DataFrame:

@@ -57,6 +57,10 @@ select c_custkey as id,
             when c_custkey % 5 = 1 then cast(c_custkey as string) || '_P01_T02_Rx_S1.tif'
             else cast(c_custkey as string) || '_P01_T02_R' || cast(200 + c_custkey % 300 as string) || '_S1.tif' end as name
 from customer""",
+    "f_name_n": """
+select id, name from f_name_a
+union all
+select id, cast(id as string) || case when id % 3 = 0 then '.tif' when id % 3 = 1 then '.0.tif' else '_plain.tif' end as name from f_name_a where id % 5 = 0""",
     "f_name_b": """
 select id, name from f_name_a where id % 3 <> 0
 union all

@@ -72,6 +72,60 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Versions:
+    """A table of which a loop changes some keys a round: a round writes those alone, and the newest version of a key counts.
+
+    Versions of like size are merged, so a row is written again a logarithmic number of times, and a large
+    version is not written for the sake of a small one.
+    """
+
+    def __init__(self, keys, name: str = "version"):
+        self.keys, self.name, self.parts, self.count = list(keys), name, [], 0
+
+    def put(self, rows: DataFrame) -> DataFrame:
+        """Write the changed keys' rows, all of each key; returns what was written."""
+        self.count += 1
+        part = materialize(rows.withColumn("_version", F.lit(self.count)), self.name)
+        self.parts.append((part, part.count()))
+        return part.drop("_version")
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        latest = rows.groupBy(*self.keys).agg(F.max("_version").alias("_version"))
+        return rows.join(latest, [*self.keys, "_version"], "left_semi")
+
+    def now(self, among: DataFrame | None = None) -> DataFrame:
+        """The table as it is; only the keys ``among``, if given. What ``put`` returned before may not be read any more."""
+        while len(self.parts) > 1 and 2 * self.parts[-1][1] >= self.parts[-2][1]:
+            (old, _), (new, _) = self.parts[-2:]
+            both = materialize(self._newest(old.unionByName(new)), self.name)
+            self.parts[-2:] = [(both, both.count())]
+            release(old)
+            release(new)
+        rows = self.parts[0][0]
+        for part, _ in self.parts[1:]:
+            rows = rows.unionByName(part)
+        if among is not None:
+            rows = rows.join(among, self.keys, "left_semi")
+        return (rows if len(self.parts) == 1 else self._newest(rows)).drop("_version")
+
+
+class Log:
+    """A table that a loop appends to, a folder a round; it is read as one."""
+
+    def __init__(self, spark: SparkSession, name: str = "log"):
+        self.spark, self.path, self.rounds, self.schema = spark, new_path(spark, name), 0, None
+
+    def append(self, rows: DataFrame) -> DataFrame:
+        """Write the rows; returns what was written."""
+        at = f"{self.path}/round={self.rounds}"
+        rows.write.parquet(at)
+        self.rounds, self.schema = self.rounds + 1, rows.schema
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected graph given as pairs of longs.
 

@@ -200,14 +200,17 @@ def r02(spark, d):
     return flat_spacing(R.spacing_from_name(name_a(spark, d)))
 
 
-@register("r03_spacing_lookup", "select id, name, 1.0::double as sz, round(coalesce(resolution / 1000, 1.0), 6) as sy, round(coalesce(resolution / 1000, 1.0), 6) as sx from f_name_a left join f_raw_info on id = number")
+NUMBERED = "select *, try_cast(string_split(name, '.')[1] as {kind}) as num from f_name_n"
+
+
+@register("r03_spacing_lookup", f"select id, name, 1.0::double as sz, round(coalesce(resolution / 1000, 1.0), 6) as sy, round(coalesce(resolution / 1000, 1.0), 6) as sx from ({NUMBERED.format(kind='double')}) left join f_raw_info on num = number")
 def r03(spark, d):
-    return flat_spacing(R.spacing_lookup(name_a(spark, d), fixture(spark, d, "f_raw_info")))
+    return flat_spacing(R.spacing_lookup(fixture(spark, d, "f_name_n"), fixture(spark, d, "f_raw_info")))
 
 
-@register("r03_spacing_strict", "select id, name, 1.0::double as sz, round(resolution / 1000, 6) as sy, round(resolution / 1000, 6) as sx from f_name_a join f_raw_info on id = number")
+@register("r03_spacing_strict", f"select id, name, 1.0::double as sz, round(resolution / 1000, 6) as sy, round(resolution / 1000, 6) as sx from ({NUMBERED.format(kind='bigint')}) join f_raw_info on num = number")
 def r03b(spark, d):
-    return flat_spacing(R.spacing_lookup(name_a(spark, d), fixture(spark, d, "f_raw_info"), True))
+    return flat_spacing(R.spacing_lookup(fixture(spark, d, "f_name_n"), fixture(spark, d, "f_raw_info"), True))
 
 
 def markers_sql(images: str = "f_name_a") -> str:

@@ -5,11 +5,13 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from dendrovox.operators import components as D
 from dendrovox.operators import geodesic as G
+from dendrovox.operators import runs as R
 from dendrovox.operators import scoring as L
 from dendrovox.operators import voxels as V
 
@@ -61,10 +63,21 @@ def ball(r):
     return [o for o in itertools.product(range(-k, k + 1), repeat=3) if sum(a * a for a in o) <= r * r + 1e-12]
 
 
+def sampled_ball(r):
+    """The ball as the imaging library's public definition samples it: a grid of ``int(2 r + 1)`` points from -r to r."""
+    n = 2 * r + 1
+    z, y, x = np.mgrid[-r : r : n * 1j, -r : r : n * 1j, -r : r : n * 1j]
+    return [tuple(map(int, p)) for p in np.argwhere(x**2 + y**2 + z**2 <= r * r)]
+
+
 def opened(mask, r):
-    near = ball(r)
-    eroded = {p for p in mask if all(plus(p, o) in mask for o in near)}
-    return {q for p in eroded for q in (plus(p, o) for o in near) if inside(q)}
+    """All translates of the sampled ball that lie within the mask."""
+    near = sampled_ball(r)
+    if not near:
+        return set()
+    starts = {tuple(a - b for a, b in zip(p, near[0], strict=True)) for p in mask}
+    fits = {s for s in starts if all(plus(s, o) in mask for o in near)}
+    return {plus(s, o) for s in fits for o in near}
 
 
 def progressive_open(mask):
@@ -149,6 +162,35 @@ def test_progressive_open(tables, masks):
     assert by_volume(V.progressive_open(*tables)) == [progressive_open(m) for m in masks]
 
 
+def test_opening_by_balls_of_any_radius(spark, tables, masks):
+    """Element and opening at whole, half and other radii, on noise and on solid blobs."""
+    mask, _ = tables
+    runs = R.of_mask(mask)
+    assert by_volume(R.to_mask(runs)) == masks
+    for r in (0.55, 1.0, 1.5, 2.0, 2.25, 2.5, 3.15, 3.85):
+        radii = spark.createDataFrame([(v, r) for v in range(len(masks))], "volume_id long, r double")
+        rows = R.ball_rows(radii)
+        element = {(x["dz"], x["dy"], k) for x in rows.collect() for k in range(x["lo"], x["hi"] + 1)}
+        assert element == set(sampled_ball(r))
+        assert by_volume(R.to_mask(R.open_by_radius(runs, radii, rows))) == [opened(m, r) for m in masks]
+
+
+def test_components_across_tiles(spark):
+    """Components that cross tile borders at faces, edges and corners, in both neighbourhoods."""
+    rnd = random.Random(3)
+    size = (5, 40, 70)
+    cells = {(2, y, x) for y in range(40) for x in range(70) if rnd.random() < 0.45} | {(z, 31, 31) for z in range(5)} | {(3, 32, 32), (4, 33, 33)}
+    mask = spark.createDataFrame([(7, *p) for p in cells], "volume_id long, z int, y int, x int")
+    dims = spark.createDataFrame([(7, *size)], "volume_id long, depth int, height int, width int")
+    for conn, around in ((6, FACES), (26, AROUND)):
+        want = {}
+        for c in components(cells, around):
+            least = min((p[0] * size[1] + p[1]) * size[2] + p[2] for p in c)
+            want |= {p: least for p in c}
+        got = {(r["z"], r["y"], r["x"]): r["component_id"] for r in D.connected_components(mask, dims, conn).collect()}
+        assert got == want
+
+
 def test_least_diameter_and_largest_component(tables, masks):
     want = [largest(m) for m in masks]
     assert by_volume(D.largest_component(*tables)) == want
@@ -207,11 +249,11 @@ def test_regions_of_several_somas(spark, tables, masks):
 
 def test_main_soma_region(spark, tables, masks):
     mask, dims = tables
-    marks = {0: (10, 22, 16), 1: (12, 34, 34), 2: (10, 24, 24)}
+    marks = {0: (11, 23, 17), 1: (12, 35, 34), 2: (10, 24, 25)}
     markers = spark.createDataFrame([(v, *p) for v, p in marks.items()], "volume_id long, z int, y int, x int")
     want = []
     for v, m in enumerate(masks):
-        near = {p: d for p, d in to_background(m).items() if sum((a - b / 2) ** 2 for a, b in zip(p, marks[v], strict=True)) <= 49 and d > 0}
+        near = {p: d for p, d in to_background(m).items() if sum((a - b // 2) ** 2 for a, b in zip(p, marks[v], strict=True)) <= 49 and d > 0}
         want.append(cleaned(largest(dilate(above(near, 0.5), 5) & m)))
     assert by_volume(D.main_soma_region(mask, markers, dims, 7)) == want
 
