@@ -2,66 +2,88 @@
 
 A distance is kept as its counts of face, edge and corner steps, so equal routes are exactly equal whatever
 their order. Volumes are cut into tiles: a task settles one tile's voxels from what is known at its border, tiles
-exchange the border voxels that changed, and only tiles that get some are settled again. So the rounds grow
+exchange the border voxels that changed, and only tiles that get some are settled, and written, again. Paths are walked
+the same way: a task walks a path through its tile and hands its head over to the next. So the rounds grow
 with the tiles that a path crosses, not with its voxels, and no task holds more than a tile.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendrovox.functions.grid import AXES, KEYS, decode_neighbor, encode_neighbor, neighbours, shifted
-from dendrovox.plans.iterate import materialize, release
+from dendrovox.functions.grid import AXES, KEYS, TILE, TILES, ddl, encode_neighbor, neighbours, shifted
+from dendrovox.plans.iterate import Log, Versions, materialize, release
 
-#: Voxels along a tile's side.
-TILE = 32
 #: Tiles that a shortest path may cross; more raises.
 MAX_TILES = 10_000
+#: Path heads that a task takes into a tile at once; more are dealt to several tasks.
+HEADS = 65_536
 STEPS = ("n_face", "n_edge", "n_corner")
-TILES = ("tz", "ty", "tx")
 
 
 def _place(keys) -> list[str]:
     return [*keys, *AXES]
 
 
+def _tile(columns=AXES) -> list:
+    return [F.floor(F.col(a) / TILE).cast("int").alias(t) for a, t in zip(columns, TILES, strict=True)]
+
+
 def step_length(offset, z_weight: float = 1.0) -> float:
     return math.sqrt((offset[0] * z_weight) ** 2 + offset[1] ** 2 + offset[2] ** 2)
 
 
-def settle(pdf: pd.DataFrame, offsets, z_weight: float) -> pd.DataFrame:
-    """One tile: its own voxels (``own``) and border voxels of others, with the distances known so far."""
-    own = pdf["own"].to_numpy()
-    places = list(zip(*(pdf[a].tolist() for a in AXES), strict=True))
-    index = {p: i for i, p in enumerate(places) if own[i]}
-    best = list(zip(pdf["dist"].tolist(), *(pdf[s].tolist() for s in STEPS), strict=True))
-    weighted = [(o, sum(map(abs, o)) - 1, step_length(o, z_weight)) for o in offsets]
-    exact = z_weight == 1.0
-    heap = [(b, p) for b, p in zip(best, places, strict=True) if b[0] < math.inf]
-    heapq.heapify(heap)
-    changed = [False] * len(places)
-    while heap:
-        here, p = heapq.heappop(heap)
-        if p in index and here > best[index[p]]:
-            continue
-        for o, kind, length in weighted:
-            i = index.get((p[0] + o[0], p[1] + o[1], p[2] + o[2]))
-            if i is None:
-                continue
-            n = [here[1], here[2], here[3]]
-            n[kind] += 1
-            d = n[0] + n[1] * math.sqrt(2) + n[2] * math.sqrt(3) if exact else round(here[0] + length, 9)
-            if d < best[i][0]:
-                best[i] = (d, *n)
-                changed[i] = True
-                heapq.heappush(heap, (best[i], places[i]))
-    out = pdf.assign(dist=[b[0] for b in best], changed=changed, **{s: [b[k + 1] for b in best] for k, s in enumerate(STEPS)})
-    return out[own]
+def _spots(rows: pa.Table, width: int = TILE + 2) -> np.ndarray:
+    """Places of a tile's voxels, and of those just outside, in an array with a rim of one."""
+    spot = np.zeros(len(rows), np.int64)
+    for a, t in zip(AXES, TILES, strict=True):
+        spot = spot * width + (rows[a].to_numpy().astype(np.int64) - rows[t].to_numpy() * TILE + 1)
+    return spot
+
+
+def settle(rows: pa.Table, offsets, z_weight: float) -> pa.Table:
+    """One tile: its own voxels (``own``) and border voxels of others, with the distances known so far.
+
+    A front of improved voxels advances through arrays until none improves. The start is the border, or, the first time, the sources.
+    """
+    own = rows["own"].to_numpy(zero_copy_only=False)
+    spot, size = _spots(rows), (TILE + 2) ** 3
+    mine = np.zeros(size + 2 * (TILE + 2) ** 2, bool)  # steps from the rim may lead past the array's ends
+    mine[spot[own]] = True
+    best, counts = np.full(size, np.inf), np.zeros((3, size), np.int32)
+    dist = rows["dist"].to_numpy()
+    order = np.argsort(-dist, kind="stable")  # of a place's rows the nearest is written last
+    best[spot[order]] = dist[order]
+    for k, s in enumerate(STEPS):
+        counts[k, spot[order]] = rows[s].to_numpy()[order]
+    jump = np.array([((dz * (TILE + 2)) + dy) * (TILE + 2) + dx for dz, dy, dx in offsets])
+    kind = np.array([sum(map(abs, o)) - 1 for o in offsets])
+    length = np.array([step_length(o, z_weight) for o in offsets])
+    changed = np.zeros(size, bool)
+    front = np.unique(spot[(dist < np.inf) & ~own] if not own.all() else spot[dist < np.inf])
+    while len(front):
+        to = front[:, None] + jump[None, :]
+        one, step = np.nonzero(mine[to])
+        to, from_ = to[one, step], front[one]
+        n = counts[:, from_]
+        n[kind[step], np.arange(len(step))] += 1
+        d = n[0] + n[1] * math.sqrt(2) + n[2] * math.sqrt(3) if z_weight == 1.0 else np.round(best[from_] + length[step], 9)
+        better = d < best[to]
+        to, d, n = to[better], d[better], n[:, better]
+        np.minimum.at(best, to, d)
+        won = d == best[to]
+        counts[:, to[won]] = n[:, won]
+        front = np.unique(to[won])
+        changed[front] = True
+    at = spot[own]
+    new = {"dist": pa.array(best[at]), "changed": pa.array(changed[at]), **{s: pa.array(counts[k, at]) for k, s in enumerate(STEPS)}}
+    kept = rows.filter(pa.array(own))
+    return pa.table({c: new.get(c, kept[c]) for c in rows.column_names})
 
 
 def geodesic_distance(mask: DataFrame, sources: DataFrame, connectivity: int = 26, keys=KEYS, z_weight: float = 1.0) -> DataFrame:
@@ -69,30 +91,24 @@ def geodesic_distance(mask: DataFrame, sources: DataFrame, connectivity: int = 2
 
     Only foreground is entered; a source is 0 even on background. Voxels that are not reached have no row.
     """
-    tiles = [F.floor(F.col(a) / TILE).cast("int").alias(t) for a, t in zip(AXES, TILES, strict=True)]
     zero = sources.select(*_place(keys), F.lit(0.0).alias("dist")).distinct()
     rows = mask.select(*_place(keys)).join(zero, _place(keys), "full_outer")
-    rows = rows.select(*_place(keys), *tiles, F.coalesce("dist", F.lit(math.inf)).alias("dist"), *[F.lit(0).cast("int").alias(s) for s in STEPS], F.lit(True).alias("own"), F.lit(False).alias("changed"))
+    rows = rows.select(*_place(keys), *_tile(), F.coalesce("dist", F.lit(math.inf)).alias("dist"), *[F.lit(0).cast("int").alias(s) for s in STEPS], F.lit(True).alias("own"), F.lit(False).alias("changed"))
     columns, offsets = rows.columns, neighbours(connectivity)
     schema, group = rows.schema, [*keys, *TILES]
-    run = lambda pdf: settle(pdf, offsets, z_weight)
-    now = materialize(rows.groupBy(*group).applyInPandas(run, schema), "field")
-    news = now.where("changed or dist = 0")
+    run = lambda tile: settle(tile, offsets, z_weight)
+    state = Versions(group, "field")
+    news = state.put(rows.distinct().groupBy(*group).applyInArrow(run, schema)).where("changed or dist = 0")
     for _ in range(MAX_TILES):
         border = materialize(_border(news, columns), "border")
         if border.isEmpty():
             break
-        due = border.select(*group).distinct()
-        active = now.join(due, group, "left_semi")
-        settled = active.unionByName(border).groupBy(*group).applyInPandas(run, schema)
-        after = materialize(now.join(due, group, "left_anti").withColumn("changed", F.lit(False)).unionByName(settled), "field")
-        release(now)
+        active = state.now(border.select(*group).distinct())
+        news = state.put(active.unionByName(border).groupBy(*group).applyInArrow(run, schema)).where("changed")
         release(border)
-        now = after
-        news = now.where("changed")
     else:
         raise RuntimeError(f"distances did not settle in {MAX_TILES} rounds")
-    return now.where(F.col("dist") < math.inf).select(*_place(keys), *STEPS, "dist")
+    return state.now().where(F.col("dist") < math.inf).select(*_place(keys), *STEPS, "dist")
 
 
 def _border(news: DataFrame, columns) -> DataFrame:
@@ -142,29 +158,66 @@ def predecessor_dense(pred: DataFrame, volumes: DataFrame, keys=KEYS) -> DataFra
     return moved.withColumn("pred_code", F.col("pred_code") - 1)
 
 
+def _walker(max_len: int | None):
+    """A function of path heads in a tile and the tile's predecessor codes: the points behind the heads, and where they leave."""
+    wide = TILE + 2
+
+    def walk(heads: pa.Table, codes: pa.Table) -> pa.Table:
+        names = [*heads.column_names, "head"]
+        if not len(heads) or not len(codes):
+            return heads.slice(0, 0).append_column("head", pa.array([], pa.bool_()))
+        grid = np.full(wide**3, -1, np.int8)
+        grid[_spots(codes)] = codes["pred_code"].to_numpy()
+        code = np.arange(27)
+        jump = -(((code // 9 - 1) * wide + code // 3 % 3 - 1) * wide + code % 3 - 1)
+        who, spot, step = np.arange(len(heads)), _spots(heads), heads["step"].to_numpy().astype(np.int64)
+        out = []
+        while len(who):
+            c = grid[spot]
+            go = c >= 0 if max_len is None else (c >= 0) & (step < max_len)
+            who, spot, step = who[go], spot[go] + jump[c[go]], step[go] + 1
+            rest = spot % wide, spot // wide % wide, spot // wide**2
+            left = np.zeros(len(spot), bool)
+            for r in rest:
+                left |= (r == 0) | (r == wide - 1)
+            out.append((who, step, rest, left))
+            who, spot, step = who[~left], spot[~left], step[~left]
+        who, step, left = (np.concatenate([o[k] for o in out]) for k in (0, 1, 3))
+        found = heads.take(pa.array(who))
+        new = {"step": pa.array(step.astype(np.int32)), "head": pa.array(left)}
+        for k, (a, t) in enumerate(zip(AXES, TILES, strict=True)):
+            new[a] = pa.array((np.concatenate([o[2][2 - k] for o in out]) - 1 + found[t].to_numpy() * TILE).astype(np.int32))
+        return pa.table({c: new.get(c, found[c] if c in found.column_names else None) for c in names})
+
+    return walk
+
+
+def _met_in_tiles(heads: DataFrame, tiles: DataFrame, keys):
+    """Heads and the rows of the tiles they are in, both by tile and share: a tile that many heads are in is dealt to several tasks."""
+    group = [*keys, *TILES]
+    shares = heads.groupBy(*group).agg((1 + F.floor(F.count(F.lit(1)) / HEADS)).cast("int").alias("_shares"))
+    dealt = heads.join(shares, group).withColumn("_share", F.pmod(F.xxhash64("path_id"), F.col("_shares")).cast("int")).drop("_shares")
+    held = tiles.join(shares, group).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    return dealt.groupBy(*group, "_share"), held.groupBy(*group, "_share"), dealt
+
+
 def trace_paths(pred: DataFrame, starts: DataFrame, max_len: int | None = 400, keys=KEYS) -> DataFrame:
     """Paths from ``starts`` (``path_id, z, y, x``) back to their source: ``keys, path_id, step, z, y, x``.
 
-    At most ``max_len + 1`` points. All paths grow together by doubling: with jumps of 2^k points known for every
-    voxel, the points so far give as many more, so the rounds are the logarithm of the longest path.
+    At most ``max_len + 1`` points. Paths are walked tile by tile; a round takes every path through one tile.
     """
-    at = lambda p: [F.col(f"{p}{a}") for a in AXES]
-    code = decode_neighbor(F.col("pred_code"))
-    jump = pred.where("pred_code >= 0").select(*_place(keys), *[(F.col(a) - c).cast("int").alias(f"j{a}") for a, c in zip(AXES, code, strict=True)])
-    jump = materialize(jump, "jumps")
-    paths = materialize(starts.select(*keys, "path_id", F.lit(0).alias("step"), *AXES), "paths")
-    size = 1
-    while max_len is None or size <= max_len:
-        more = paths.join(jump, _place(keys)).select(*keys, "path_id", (F.col("step") + size).alias("step"), *[c.alias(a) for c, a in zip(at("j"), AXES, strict=True)])
-        more = materialize(more if max_len is None else more.where(F.col("step") <= max_len), "paths")
-        if more.isEmpty():
-            break
-        paths = materialize(paths.unionByName(more), "paths")
-        ahead = jump.select(*keys, *[F.col(a).alias(f"j{a}") for a in AXES], *[F.col(f"j{a}").alias(f"k{a}") for a in AXES])
-        twice = jump.join(ahead, [*keys, "jz", "jy", "jx"]).select(*_place(keys), *[F.col(f"k{a}").alias(f"j{a}") for a in AXES])
-        jump = materialize(twice, "jumps")
-        size *= 2
-    return paths
+    codes = materialize(pred.where("pred_code >= 0").select(*_place(keys), "pred_code", *_tile()), "codes")
+    points = Log(pred.sparkSession, "paths")
+    out = [*keys, "path_id", "step", *AXES]
+    new = points.append(starts.select(*keys, "path_id", F.lit(0).alias("step"), *[F.col(a).cast("int").alias(a) for a in AXES], F.lit(True).alias("head")))
+    for _ in range(MAX_TILES):
+        heads = new.where("head").drop("head").select("*", *_tile())
+        if heads.isEmpty():
+            return points.all().select(out)
+        left, right, dealt = _met_in_tiles(heads, codes, keys)
+        walked = left.cogroup(right).applyInArrow(_walker(max_len), ddl(dealt, dealt.columns, "head boolean"))
+        new = points.append(walked.select(*out, "head"))
+    raise RuntimeError(f"paths did not end in {MAX_TILES} tiles")
 
 
 def sample_points(mask: DataFrame, m: int, seed: int = 0, keys=KEYS) -> DataFrame:
@@ -188,10 +241,59 @@ def fmm_distance(mask: DataFrame, sources: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def path_tree(mask: DataFrame, sources: DataFrame, connectivity: int = 6, keys=KEYS) -> DataFrame:
-    """The path of every reached voxel: ``path_id`` (linear-order struct of its place), ``step, z, y, x``."""
-    pred = materialize(predecessor(geodesic_distance(mask, sources, connectivity, keys), connectivity, keys), "predecessors")
-    starts = pred.select(*keys, F.concat_ws(",", *[F.col(a).cast("string") for a in AXES]).alias("path_id"), *AXES)
-    return trace_paths(pred, starts, None, keys)
+    """The shortest paths of every reached voxel as a tree: a row for each voxel with its ``pred_code`` (-1 for a source).
+
+    A path is the way from voxel to voxel along the codes; ``paths_of`` writes them out.
+    """
+    return materialize(predecessor(geodesic_distance(mask, sources, connectivity, keys), connectivity, keys), "tree")
+
+
+def paths_of(tree: DataFrame, keys=KEYS) -> DataFrame:
+    """The path of every voxel of a path tree, ``path_id`` being its place: ``path_id, step, z, y, x``."""
+    starts = tree.select(*keys, F.concat_ws(",", *[F.col(a).cast("string") for a in AXES]).alias("path_id"), *AXES)
+    return trace_paths(tree, starts, None, keys)
+
+
+def _descent(step: float, tolerance: float, max_steps: int):
+    """A function of heads in a tile and the tile's slopes: the heads' next points, as long as they stay in the tile."""
+    wide = TILE + 2
+
+    def descend(heads: pa.Table, slopes: pa.Table) -> pa.Table:
+        names = [*heads.column_names, "head"]
+        if not len(heads) or not len(slopes):
+            return heads.slice(0, 0).append_column("head", pa.array([], pa.bool_()))
+        known, slope, spot = np.zeros(wide**3, bool), np.zeros((3, wide**3)), _spots(slopes)
+        known[spot] = True
+        for k, a in enumerate(AXES):
+            slope[k, spot] = slopes[f"g{a}"].to_numpy()
+        base = np.array([heads[t][0].as_py() * TILE for t in TILES], float)[:, None]
+        at = np.stack([heads[a].to_numpy() for a in AXES])
+        goal = np.stack([heads[f"s{a}"].to_numpy().astype(float) for a in AXES])
+        who, n, out = np.arange(len(heads)), heads["step"].to_numpy().astype(np.int64), []
+        while len(who):
+            low = np.floor(at)
+            part, cell = at - low, (low - base).astype(np.int64) + 1
+            total, met = np.zeros(at.shape), np.zeros(len(who), bool)
+            for corner in np.ndindex(2, 2, 2):
+                c = [cell[k] + corner[k] for k in range(3)]
+                spot = (c[0] * wide + c[1]) * wide + c[2]
+                weight = np.prod([part[k] if corner[k] else 1 - part[k] for k in range(3)], axis=0)
+                total += weight * slope[:, spot]
+                met |= known[spot]
+            norm = np.sqrt((total * total).sum(axis=0))
+            go = met & (norm > 1e-12) & (n < max_steps) & (((at - goal) ** 2).sum(axis=0) > tolerance * tolerance)
+            who, n = who[go], n[go] + 1
+            at, goal = at[:, go] + step * total[:, go] / norm[go], goal[:, go]
+            inner = np.floor(at) - base
+            left = ((inner < 0) | (inner >= TILE)).any(axis=0)
+            out.append((who, n, at, left))
+            who, n, at, goal = who[~left], n[~left], at[:, ~left], goal[:, ~left]
+        found = heads.take(pa.array(np.concatenate([o[0] for o in out])))
+        new = {"step": pa.array(np.concatenate([o[1] for o in out]).astype(np.int32)), "head": pa.array(np.concatenate([o[3] for o in out]))}
+        new |= {a: pa.array(np.concatenate([o[2][k] for o in out])) for k, a in enumerate(AXES)}
+        return pa.table({c: new.get(c, found[c] if c in found.column_names else None) for c in names})
+
+    return descend
 
 
 def streamline(field: DataFrame, targets: DataFrame, sources: DataFrame, step: float = 0.5, tolerance: float = 1.0, max_steps: int | None = None, keys=KEYS) -> DataFrame:
@@ -199,46 +301,34 @@ def streamline(field: DataFrame, targets: DataFrame, sources: DataFrame, step: f
 
     The gradient is interpolated from the eight voxels around the head. A path ends within ``tolerance`` of its
     volume's source, at a zero gradient or outside the grid. ``ended`` is false for a path that has done none of these
-    after ``max_steps``; unless given, that is twice the field's largest distance by steps, and ten.
+    after ``max_steps``; unless given, that is twice the field's largest distance by steps, and ten. A round takes every path as
+    far as it goes within its tile.
     """
     from dendrovox.operators.voxels import gradient
 
     if max_steps is None:
         far = field.where(~F.isnan(F.col("dist").cast("double")) & (F.col("dist") < float("inf"))).agg(F.max("dist")).first()[0]
         max_steps = math.ceil(2 * max(float(far or 0), 0.0) / step) + 10
-
-    slope = materialize(gradient(field, "dist", keys), "gradient")
+    slope = gradient(field, "dist", keys).select(*_place(keys), *[F.col(f"g{a}").cast("double").alias(f"g{a}") for a in AXES])
+    back = [F.explode(F.array_compact(F.array(F.lit(0), F.when(F.col(a) % TILE == 0, F.lit(-1))))).alias(f"_{t}") for a, t in zip(AXES, TILES, strict=True)]
+    for b in back:  # a tile's first voxels are corners of the cells of the tile before, too
+        slope = slope.select("*", b)
+    slopes = materialize(slope.select(*_place(keys), *[f"g{a}" for a in AXES], *[(F.floor(F.col(a) / TILE).cast("int") + F.col(f"_{t}")).alias(t) for a, t in zip(AXES, TILES, strict=True)]), "slopes")
     goal = sources.select(*keys, *[F.col(a).alias(f"s{a}") for a in AXES])
-    heads = targets.select(*keys, "path_id", F.lit(0).alias("step"), *[F.col(a).cast("double").alias(a) for a in AXES])
-    out = [materialize(heads, "heads")]
-    corners = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
-
-    def live_heads(heads: DataFrame) -> DataFrame:
-        d2 = sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in AXES), F.lit(0.0))
-        return heads.join(goal, list(keys)).where(d2 > tolerance * tolerance)
-
-    for _ in range(max_steps):
-        live = live_heads(out[-1])
-        each = live.withColumn("_c", F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(c, AXES, strict=True)]) for c in corners])))
-        weight = F.lit(1.0)
-        for a in AXES:
-            part = F.col(a) - F.floor(a)
-            weight = weight * F.when(F.col(f"_c.{a}") == 1, part).otherwise(1 - part)
-        each = each.select(*keys, "path_id", "step", *[F.col(a).alias(f"h{a}") for a in AXES], weight.alias("_w"), *[(F.floor(a) + F.col(f"_c.{a}")).cast("int").alias(a) for a in AXES])
-        at = each.join(slope, _place(keys)).groupBy(*keys, "path_id", "step", *[f"h{a}" for a in AXES]).agg(*[F.sum(F.col("_w") * F.col(f"g{a}")).alias(f"g{a}") for a in AXES])
-        norm = F.sqrt(sum((F.col(f"g{a}") * F.col(f"g{a}") for a in AXES), F.lit(0.0)))
-        new = at.where(norm > 1e-12).select(*keys, "path_id", (F.col("step") + 1).alias("step"), *[(F.col(f"h{a}") + step * F.col(f"g{a}") / norm).alias(a) for a in AXES])
-        new = materialize(new, "heads")
-        if new.isEmpty():
+    points = Log(field.sparkSession, "streamlines")
+    out = [*keys, "path_id", "step", *AXES]
+    new = points.append(targets.select(*keys, "path_id", F.lit(0).alias("step"), *[F.col(a).cast("double").alias(a) for a in AXES], F.lit(True).alias("head")))
+    while True:
+        heads = new.where("head").drop("head").join(goal, list(keys)).select("*", *_tile())
+        if heads.isEmpty():
             break
-        out.append(new)
-    all_heads = out[0]
-    for more in out[1:]:
-        all_heads = all_heads.unionByName(more)
-    # only heads of the last step allowed can still be under way
-    cut = live_heads(out[max_steps]) if len(out) > max_steps else live_heads(out[-1]).limit(0)
-    cut = materialize(cut.select(*keys, "path_id").distinct().withColumn("_cut", F.lit(True)), "cut")
-    return all_heads.join(cut, [*keys, "path_id"], "left").withColumn("ended", F.col("_cut").isNull()).drop("_cut")
+        left, right, dealt = _met_in_tiles(heads, slopes, keys)
+        walked = left.cogroup(right).applyInArrow(_descent(step, tolerance, max_steps), ddl(dealt, dealt.columns, "head boolean"))
+        new = points.append(walked.select(*out, "head"))
+    every = points.all().select(out)
+    d2 = sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in AXES), F.lit(0.0))
+    cut = every.where(F.col("step") == max_steps).join(goal, list(keys)).where(d2 > tolerance * tolerance).select(*keys, "path_id").distinct()
+    return every.join(cut.withColumn("_cut", F.lit(True)), [*keys, "path_id"], "left").withColumn("ended", F.col("_cut").isNull()).drop("_cut")
 
 
 def batch_predecessor(mask: DataFrame, sources: DataFrame, volumes: DataFrame, keys=("volume_id", "batch_idx", "channel_idx")) -> DataFrame:

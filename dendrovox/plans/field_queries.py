@@ -254,7 +254,7 @@ def g08(spark, d):
 
 @register("g09_path_tree", f"with recursive {geo_sql(M.format(128), 6)}, {pred_sql()}, tree_st as (select volume_id, z || ',' || y || ',' || x as path_id, z, y, x from pre), {trace_sql('tree_st', 100000)} select volume_id, path_id, step, {place_cols()} from tr")
 def g09(spark, d):
-    return G.path_tree(mask(spark, d, 128), centers_as_places(spark, d), 6)
+    return G.paths_of(G.path_tree(mask(spark, d, 128), centers_as_places(spark, d), 6))
 
 
 @register("g10_streamline")
