@@ -4,11 +4,11 @@ from __future__ import annotations
 
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendrovox.functions.grid import AXES, KEYS
+from dendrovox.functions.grid import AXES, KEYS, ddl, neighbours
 from dendrovox.operators import components as D
 from dendrovox.operators import geodesic as G
 from dendrovox.operators import voxels as V
@@ -68,114 +68,167 @@ def path_loss(
     return zero.join(loss, list(keys), "left").select(*keys, F.coalesce("_loss", "loss").alias("loss"))
 
 
-def _barcode(pdf: pd.DataFrame) -> list[tuple[float, float]]:
-    """Zero-dimensional intervals of one block's voxels (``z, y, x, value``) under 26-connectivity, by the elder rule."""
-    order = pdf.sort_values(["value", "z", "y", "x"])
-    parent: dict[tuple, tuple] = {}
-    birth: dict[tuple, float] = {}
-    bars = []
+#: Half of the offsets to the 26 neighbours.
+HALF = [o for o in neighbours(26) if o > (0, 0, 0)]
 
-    def root(p):
-        while parent[p] != p:
-            parent[p] = parent[parent[p]]
-            p = parent[p]
+
+def _barcode(place: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(birth, death) of the zero-dimensional intervals of one block's voxels under 26-connectivity, by the elder rule; an endless one dies at 1.
+
+    Voxels are ranked by value and place. Each hangs from its lowest neighbour, so basins of local minima come out of
+    pointer jumping over arrays; a pair of basins joins where its lowest pass is. Only these passes are taken one by one.
+    """
+    place = place - place.min(axis=0) + 1
+    order = np.lexsort((place[:, 2], place[:, 1], place[:, 0], value))
+    place, value = place[order], value[order]
+    shape, n = place.max(axis=0) + 2, len(value)
+    spot = (place[:, 0] * shape[1] + place[:, 1]) * shape[2] + place[:, 2]
+    rank = np.full(int(shape.prod()), n, np.int64)
+    rank[spot] = np.arange(n)
+    low, one, other = np.arange(n), [], []
+    for dz, dy, dx in HALF:
+        step = (dz * shape[1] + dy) * shape[2] + dx
+        there = rank[spot + step]
+        np.minimum(low, there, out=low)
+        np.minimum(low, rank[spot - step], out=low)
+        near = there < n
+        one.append(np.flatnonzero(near))
+        other.append(there[near])
+    while (low[low] != low).any():
+        low = low[low]
+    one, other = np.concatenate(one), np.concatenate(other)
+    a, b, at = low[one], low[other], np.maximum(one, other)
+    apart = a != b
+    a, b, at = np.minimum(a, b)[apart], np.maximum(a, b)[apart], at[apart]
+    passes = np.lexsort((at, b, a))
+    a, b, at = a[passes], b[passes], at[passes]
+    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.empty(0, bool)
+    a, b, at = a[first], b[first], at[first]
+    passes = np.argsort(at, kind="stable")
+    up = {int(m): int(m) for m in np.flatnonzero(low == np.arange(n))}
+
+    def root(p: int) -> int:
+        while up[p] != p:
+            up[p] = up[up[p]]
+            p = up[p]
         return p
 
-    around = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
-    for z, y, x, v in zip(order["z"], order["y"], order["x"], order["value"], strict=True):
-        p = (z, y, x)
-        parent[p], birth[p] = p, v
-        for a, b, c in around:
-            q = (z + a, y + b, x + c)
-            if q in parent:
-                r, s = root(p), root(q)
-                if r != s:
-                    old, young = (r, s) if birth[r] <= birth[s] else (s, r)
-                    if birth[young] < v:
-                        bars.append((birth[young], v))
-                    parent[young] = old
-    return bars + [(birth[p], 1.0) for p in parent if parent[p] == p]
-
-
-def h0_barcode(blocks: DataFrame, value: str, keys=KEYS, size: tuple[int, int, int] | None = None) -> DataFrame:
+    born, died = [], []
+    for p, q, r in zip(a[passes].tolist(), b[passes].tolist(), at[passes].tolist(), strict=True):
+        p, q = root(p), root(q)
+        if p != q:
+            old, young = min(p, q), max(p, q)
+            up[young] = old
+            if value[young] < value[r]:
+                born.append(value[young])
+                died.append(value[r])
+    left = [p for p in up if up[p] == p]
+    return np.append(born, value[left]), np.append(died, np.ones(len(left)))
+
+
+def h0_barcode(blocks: DataFrame, value: str, keys=KEYS) -> DataFrame:
     """``birth, death`` of each block's intervals, on the filtration value 1 - v; zero-length ones are left out.
 
     ``blocks`` has block keys, places and values. A group is a block, which bounds it. An interval that never
     dies ends at 1.
     """
+    by = [*keys, *BLOCK]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bars = _barcode(pdf.assign(value=1.0 - pdf[value].astype(float)))
-        head = {k: pdf[k].iloc[0] for k in (*keys, *BLOCK)}
-        return pd.DataFrame([{**head, "birth": b, "death": d} for b, d in bars], columns=[*keys, *BLOCK, "birth", "death"])
+    def run(voxels: pa.Table) -> pa.Table:
+        place = np.stack([voxels[a].to_numpy().astype(np.int64) for a in AXES], axis=1)
+        birth, death = _barcode(place, 1.0 - voxels[value].to_numpy().astype(float))
+        return pa.table({**{k: pa.repeat(voxels[k][0], len(birth)) for k in by}, "birth": birth, "death": death})
 
-    cut = blocks.select(*keys, *BLOCK, *AXES, value)
-    schema = ", ".join([*(f"`{k}` {cut.schema[k].dataType.simpleString()}" for k in (*keys, *BLOCK)), "birth double, death double"])
-    return cut.groupBy(*keys, *BLOCK).applyInPandas(run, schema)
+    cut = blocks.select(*by, *AXES, value)
+    return cut.groupBy(*by).applyInArrow(run, ddl(cut, by, "birth double, death double"))
 
 
 def bottleneck_distance(a: np.ndarray, b: np.ndarray) -> float:
-    """Bottleneck distance of two diagrams (rows of birth, death), where points may go to the diagonal."""
-    n, m = len(a), len(b)
-    if not n + m:
-        return 0.0
-    cost = np.zeros((n + m, n + m))
-    if n and m:
-        cost[:n, :m] = np.abs(a[:, None, :] - b[None, :, :]).max(axis=2)
-    half = lambda d: (d[:, 1] - d[:, 0]) / 2
-    if n:
-        cost[:n, m:] = half(a)[:, None]
-    if m:
-        cost[n:, :m] = half(b)[None, :]
-    values = np.unique(cost)
+    """Bottleneck distance of two diagrams (rows of birth, death), where points may go to the diagonal.
+
+    All points on the diagonal cost half the longest interval, so only pairs nearer than that are looked at. At a distance
+    t, points whose way to the diagonal is longer than t must find a partner within t. If those of one side can all be
+    matched, and those of the other side can, both can be at once (Mendelsohn and Dulmage), so the sides are matched apart.
+    """
+    half_a, half_b = (a[:, 1] - a[:, 0]) / 2, (b[:, 1] - b[:, 0]) / 2
+    most = max(half_a.max(initial=0.0), half_b.max(initial=0.0))
+    order = np.argsort(b[:, 0], kind="stable")
+    lo, hi = np.searchsorted(b[order, 0], a[:, 0] - most), np.searchsorted(b[order, 0], a[:, 0] + most, side="right")
+    i = np.repeat(np.arange(len(a)), hi - lo)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+    cost = np.abs(a[i] - b[j]).max(axis=1) if len(i) else np.empty(0)
+    near = cost <= most
+    i, j, cost = i[near], j[near], cost[near]
+    values = np.unique(np.concatenate([[0.0], half_a, half_b, cost]))
+
+    def fits(t: float) -> bool:
+        ok = cost <= t
+        return _all_matched(np.flatnonzero(half_a > t), i[ok], j[ok]) and _all_matched(np.flatnonzero(half_b > t), j[ok], i[ok])
+
     low, high = 0, len(values) - 1
     while low < high:
         mid = (low + high) // 2
-        if _perfect(cost <= values[mid]):
-            high = mid
-        else:
-            low = mid + 1
+        low, high = (low, mid) if fits(values[mid]) else (mid + 1, high)
     return float(values[low])
 
 
-def _perfect(allowed: np.ndarray) -> bool:
-    """Whether a bipartite graph has a perfect matching (augmenting paths, depth first without recursion)."""
-    size = len(allowed)
-    near = [np.flatnonzero(r).tolist() for r in allowed]
-    mate = [-1] * size
-    for i in range(size):
-        seen, came, todo, free = set(), {}, [i], -1
-        while todo and free < 0:
-            u = todo.pop()
-            for v in near[u]:
-                if v not in seen:
-                    seen.add(v)
-                    came[v] = u
-                    if mate[v] < 0:
-                        free = v
-                        break
-                    todo.append(mate[v])
-        if free < 0:
+def _all_matched(must: np.ndarray, left: np.ndarray, right: np.ndarray) -> bool:
+    """Whether all of ``must`` can be matched along the edges ``left[e], right[e]`` (Hopcroft and Karp: shortest augmenting paths by layers)."""
+    order = np.argsort(left, kind="stable")
+    first, end = np.searchsorted(left[order], must), np.searchsorted(left[order], must, side="right")
+    if (first == end).any():
+        return False
+    partners = [right[order[f:e]].tolist() for f, e in zip(first, end, strict=True)]
+    mate: list[int] = [-1] * len(must)
+    taken: dict[int, int] = {}
+    while True:
+        layer = {u: 0 for u in range(len(must)) if mate[u] < 0}
+        if not layer:
+            return True
+        now, reached = list(layer), False
+        while now and not reached:
+            after = []
+            for u in now:
+                for v in partners[u]:
+                    w = taken.get(v)
+                    if w is None:
+                        reached = True
+                    elif w not in layer:
+                        layer[w] = layer[u] + 1
+                        after.append(w)
+            now = after
+        if not reached:
             return False
-        while free >= 0:
-            u = came[free]
-            back = next((v for v in near[u] if mate[v] == u), -1)
-            mate[free] = u
-            free = back if u != i else -1
-    return True
+        spot = [0] * len(must)
+        for start in [u for u in range(len(must)) if mate[u] < 0]:
+            path = [start]  # nodes of the left side; spot[u] - 1 is the partner that u tries
+            while path:
+                u = path[-1]
+                if spot[u] == len(partners[u]):
+                    path.pop()
+                    continue
+                v = partners[u][spot[u]]
+                spot[u] += 1
+                w = taken.get(v)
+                if w is None:
+                    for x in reversed(path):
+                        v = partners[x][spot[x] - 1]
+                        taken[v], mate[x] = x, v
+                    break
+                if layer.get(w) == layer[u] + 1:
+                    path.append(w)
 
 
 def bottleneck(gt_bars: DataFrame, pred_bars: DataFrame, keys=KEYS) -> DataFrame:
     """``distance`` of each block's two diagrams; a block may have one of them only."""
     by = [*keys, *BLOCK]
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        head = (left if len(left) else right).iloc[0]
-        d = bottleneck_distance(left[["birth", "death"]].to_numpy(float), right[["birth", "death"]].to_numpy(float))
-        return pd.DataFrame([{**{k: head[k] for k in by}, "distance": d}])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        one, other = (np.stack([bars[c].to_numpy() for c in ("birth", "death")], axis=1) for bars in (left, right))
+        head = left if len(left) else right
+        return pa.table({**{k: head[k].slice(0, 1) for k in by}, "distance": [bottleneck_distance(one, other)]})
 
-    schema = ", ".join([*(f"`{k}` {gt_bars.schema[k].dataType.simpleString()}" for k in by), "distance double"])
-    return gt_bars.groupBy(*by).cogroup(pred_bars.groupBy(*by)).applyInPandas(run, schema)
+    return gt_bars.groupBy(*by).cogroup(pred_bars.groupBy(*by)).applyInArrow(run, ddl(gt_bars, by, "distance double"))
 
 
 def topology_loss(pairs: DataFrame, volumes: DataFrame, block=(10, 20, 20), keys=KEYS) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,32 +33,38 @@ def children(nodes: DataFrame) -> DataFrame:
     return nodes.select(*TREE, "n").join(lists, [*TREE, "n"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<bigint>")))
 
 
-def _doubled(steps: DataFrame, pairs: bool = False):
-    """Ancestors by pointer doubling, from ``tree_id, n, up`` of the nodes that have a parent.
-
-    Returns ``tree_id, n, up, hops`` of each node's farthest ancestor, or of all its ancestors with ``pairs``.
-    """
+def _doubled(steps: DataFrame) -> DataFrame:
+    """``tree_id, n, up, hops`` of each node's farthest ancestor by pointer doubling, from ``tree_id, n, up`` of the nodes that have a parent."""
     jump = materialize(steps.select(*TREE, "n", "up", F.lit(1).cast("long").alias("hops")), "jumps")
-    every = jump
     for _ in range(MAX_ROUNDS):
         ahead = jump.select(*TREE, F.col("n").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops"))
-        if pairs:
-            more = every.join(jump.select(*TREE, F.col("n").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops")), [*TREE, "up"])
-            more = more.select(*TREE, "n", F.col("_up").alias("up"), (F.col("hops") + F.col("_hops")).alias("hops"))
-            new = materialize(more.join(every, [*TREE, "n", "up"], "left_anti"), "ancestors")
-            if new.isEmpty():
-                return every
-            every = materialize(every.unionByName(new).distinct(), "ancestors")
-            jump = materialize(jump.join(ahead, [*TREE, "up"]).select(*TREE, "n", F.col("_up").alias("up"), (F.col("hops") + F.col("_hops")).alias("hops")), "jumps")
-        else:
-            met = jump.join(ahead, [*TREE, "up"], "left")
-            after = materialize(met.select(*TREE, "n", F.coalesce("_up", "up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_up").isNotNull().alias("moved")), "jumps")
-            moved = not after.where("moved").isEmpty()
-            release(jump)
-            jump = after.drop("moved")
-            jump._kept_at = after._kept_at
-            if not moved:
-                return jump
+        met = jump.join(ahead, [*TREE, "up"], "left")
+        after = materialize(met.select(*TREE, "n", F.coalesce("_up", "up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_up").isNotNull().alias("moved")), "jumps")
+        moved = not after.where("moved").isEmpty()
+        release(jump)
+        jump = after.drop("moved")
+        jump._kept_at = after._kept_at
+        if not moved:
+            return jump
+    raise RuntimeError(f"ancestors did not settle in {MAX_ROUNDS} rounds; is there a cycle?")
+
+
+def _above(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """``tree_id, n``: the strict ancestors, by ``steps`` (``tree_id, n, up``), of the nodes of ``start``.
+
+    A mark climbs by doubled jumps: when all ancestors within 2^k are marked, the jumps of 2^k steps mark those up to
+    twice as far. A round's rows are the nodes, never pairs of a node and an ancestor.
+    """
+    jump = materialize(steps.select(*TREE, "n", "up"), "jumps")
+    marked = materialize(start.select(*TREE, "n").join(jump, [*TREE, "n"]).select(*TREE, F.col("up").alias("n")).distinct(), "marks")
+    for _ in range(MAX_ROUNDS):
+        new = marked.join(jump, [*TREE, "n"]).select(*TREE, F.col("up").alias("n")).distinct()
+        new = materialize(new.join(marked, [*TREE, "n"], "left_anti"), "marks")
+        if new.isEmpty():
+            return marked
+        marked = materialize(marked.unionByName(new), "marks")
+        ahead = jump.select(*TREE, F.col("n").alias("up"), F.col("up").alias("_up"))
+        jump = materialize(jump.join(ahead, [*TREE, "up"]).select(*TREE, "n", F.col("_up").alias("up")), "jumps")
     raise RuntimeError(f"ancestors did not settle in {MAX_ROUNDS} rounds; is there a cycle?")
 
 
@@ -92,8 +102,7 @@ def prune_in_soma(nodes: DataFrame, mask: DataFrame, volumes: DataFrame, flip: s
     leaves = nodes_in_mask(nodes, mask, volumes, flip).join(known.where("k = 0").select(*TREE, "n"), [*TREE, "n"], "left_semi")
     unary = known.where("k = 1 and parent <> -1").select(*TREE, F.col("n").alias("parent"))
     steps = nodes.join(unary, [*TREE, "parent"], "left_semi").select(*TREE, "n", F.col("parent").alias("up"))
-    chain = _doubled(steps, pairs=True).join(leaves.select(*TREE, "n"), [*TREE, "n"], "left_semi")
-    gone = chain.select(*TREE, F.col("up").alias("n")).union(leaves.where("parent <> -1").select(*TREE, "n")).distinct()
+    gone = _above(steps, leaves).union(leaves.where("parent <> -1").select(*TREE, "n")).distinct()
     return nodes.join(gone, [*TREE, "n"], "left_anti")
 
 
@@ -113,7 +122,7 @@ def connect_to_soma(nodes: DataFrame, soma: DataFrame, volumes: DataFrame, itera
     part = labelled.join(chosen, ["volume_id", "component_id"], "left_semi").select("volume_id", *AXES)
     e = materialize(nodes_in_mask(nodes, part, volumes, flip).select(*TREE, "n"), "inside")
     steps = nodes.where("parent <> -1").select(*TREE, "n", F.col("parent").alias("up"))
-    above = _doubled(steps, pairs=True).join(e, [*TREE, "n"], "left_semi").where("up <> 1").select(*TREE, F.col("up").alias("n")).distinct()
+    above = _above(steps, e).where("n <> 1")
     leaf = nodes.join(steps.select(*TREE, F.col("up").alias("n")), [*TREE, "n"], "left_anti").select(*TREE, "n")
     ends = e.join(leaf, [*TREE, "n"], "left_semi")
     gone = materialize(above.unionByName(ends).distinct(), "gone")
@@ -142,16 +151,37 @@ def snap_markers(markers: DataFrame, nodes: DataFrame, hit: float = 100, reach:
     """The markers (``tree_id, ord, x, y, z``) and, after them, each one's snapped copy (``snapped``).
 
     A marker snaps to the first root nearer than ``hit`` (squared), else to the nearest node nearer than ``reach``, the
-    first of equals, else it stays; snapped coordinates are truncated, those of node 1 before measuring. Each marker keeps its best node only, by a
-    map-side combining minimum.
+    first of equals, else it stays; snapped coordinates are truncated, those of node 1 before measuring. Nodes are keyed by
+    cells of a grid, and a marker looks at its cell and the 26 around it: what it finds no farther away than a cell's side is nearer than all
+    else. Markers that find nothing so near look again on a grid twice as coarse, up to the reach.
     """
+    axes = ("x", "y", "z")
     cut = lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("double")
-    near = markers.join(nodes.select(*TREE, "n", "parent", *[F.when(F.col("n") == 1, cut(F.col(a))).otherwise(F.col(a)).alias(f"n{a}") for a in ("x", "y", "z")]), list(TREE))
-    d2 = sum(((F.col(a) - F.col(f"n{a}")) * (F.col(a) - F.col(f"n{a}")) for a in ("x", "y", "z")), F.lit(0.0))
+    places = nodes.select(*TREE, "n", "parent", *[F.when(F.col("n") == 1, cut(F.col(a))).otherwise(F.col(a)).alias(f"n{a}") for a in axes])
+    around = F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(o, axes, strict=True)]) for o in product((-1, 0, 1), repeat=3)])
+    d2 = sum(((F.col(a) - F.col(f"n{a}")) * (F.col(a) - F.col(f"n{a}")) for a in axes), F.lit(0.0))
     root = (d2 < hit) & (F.col("parent") == -1)
     order = F.struct(F.when(root, 0).otherwise(1).alias("a"), F.when(root, F.col("n").cast("double")).otherwise(d2).alias("b"), F.col("n").alias("c"))
-    best = near.where(root | (d2 < reach)).groupBy(*TREE, "ord").agg(F.min_by(F.struct("nx", "ny", "nz"), order).alias("b"))
-    moved = markers.join(best, [*TREE, "ord"], "left").select(*TREE, "ord", *[cut(F.coalesce(F.col(f"b.n{a}"), F.col(a))).alias(a) for a in ("x", "y", "z")], F.lit(True).alias("snapped"))
+
+    def nearest(todo: DataFrame, side: float) -> DataFrame:
+        cells = lambda prefix: [F.floor(F.col(f"{prefix}{a}") / side).alias(f"_{a}") for a in axes]
+        asked = todo.select(*TREE, "ord", *axes, *cells("")).withColumn("_o", F.explode(around))
+        asked = asked.select(*TREE, "ord", *axes, *[(F.col(f"_{a}") + F.col(f"_o.{a}")).alias(f"_{a}") for a in axes])
+        met = asked.join(places.select("*", *cells("n")), [*TREE, *[f"_{a}" for a in axes]]).where(root | (d2 < reach))
+        return met.groupBy(*TREE, "ord").agg(F.min(F.struct(order.alias("o"), d2.alias("d2"), *[f"n{a}" for a in axes])).alias("b"))
+
+    side, todo, found = max(16.0, math.sqrt(hit)), markers.select(*TREE, "ord", *axes).distinct(), []
+    while True:
+        best = materialize(nearest(todo, side), "nearest")
+        last = side * side >= reach
+        sure = best if last else best.where((F.col("b.o.a") == 0) | (F.col("b.d2") <= side * side))
+        found.append(sure)
+        todo = materialize(todo.join(sure, [*TREE, "ord"], "left_anti"), "markers")
+        if last or todo.isEmpty():
+            break
+        side *= 2
+    best = reduce(DataFrame.unionByName, found)
+    moved = markers.join(best, [*TREE, "ord"], "left").select(*TREE, "ord", *[cut(F.coalesce(F.col(f"b.n{a}"), F.col(a))).alias(a) for a in axes], F.lit(True).alias("snapped"))
     return markers.select(*TREE, "ord", "x", "y", "z", F.lit(False).alias("snapped")).unionByName(moved)
 
 
