@@ -33,7 +33,7 @@ SCALE, TOP, EVERY = 64, 20, 20
 #: Numbers in a shard and in a slice of queries, about.
 SHARD_NUMBERS, SLICE_NUMBERS = 4_000_000, 1_000_000
 #: Vectors in a leaf of a tree; queries whose bounds a task works out at once.
-LEAF, BATCH = 64, 64
+LEAF, BATCH = 512, 64
 HITS = "query_id long, vec_id long, score long"
 
 
