@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 SLOW = {"d01_components_6", "d02_largest", "d03_remove_small", "d06_count", "v12_min_diameter", "g09_path_tree", "t06_connect_to_soma"}
 #: The smallest tables have a source with too few neighbours for these.
 EMPTY = {"g07_sample_paths", "g13_paths_to_swc", "g14_paths_on_mip", "l01_path_masks"}
-TWINS = voxel_queries.ORACLES | {n: q for n, q in voxel_queries.SLOW_TWINS.items() if n in ("d08_distance_to_background", "l02_path_loss")}
+TWINS = voxel_queries.ORACLES
 FAST = sorted(n for n in TWINS if n not in SLOW)
 
 
