@@ -7,10 +7,12 @@ tasks; only aggregates, which combine map-side, group by volume.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendrovox.functions.grid import AXES, KEYS, ball, cross, inside, shifted
+from dendrovox.functions.grid import AXES, KEYS, ball, cross, ddl, inside, shifted
 from dendrovox.operators import runs as R
 from dendrovox.plans.iterate import Versions, materialize
 
@@ -234,21 +236,48 @@ def diff_mask(a: DataFrame, b: DataFrame, keys=KEYS) -> DataFrame:
     return x.where("_a is null or _b is null").select(*_place(keys), F.lit(255).alias("diff"))
 
 
+#: Lines of a chunk along each of the two other axes.
+LINES = 8
+
+
+def _nearest_in_lines(axis: str, keys, limit: float | None):
+    """A function of a chunk of lines: for each place of a line the least ``d2 + (i - j)^2`` over its rows, by offsets growing until none can win."""
+    others = [a for a in AXES if a != axis]
+    most = np.iinfo(np.int64).max // 4
+
+    def run(rows: pa.Table) -> pa.Table:
+        size = rows["_n"][0].as_py()
+        place = {a: rows[a].to_numpy().astype(np.int64) for a in AXES}
+        names, line = np.unique(place[others[0]] << 32 | place[others[1]], return_inverse=True)
+        first = np.full((len(names), size), most, np.int64)
+        first[line, place[axis]] = rows["d2"].to_numpy()
+        best, d = first.copy(), 1
+        top = most if limit is None else int(limit * limit)
+        while d < size and d * d <= min(int(best.max()), top):
+            np.minimum(best[:, d:], first[:, :-d] + d * d, out=best[:, d:])
+            np.minimum(best[:, :-d], first[:, d:] + d * d, out=best[:, :-d])
+            d += 1
+        one, at = np.nonzero(best <= min(top, most - 1))
+        new = {others[0]: names[one] >> 32, others[1]: names[one] & 0xFFFFFFFF, axis: at}
+        head = {k: pa.repeat(rows[k][0], len(at)) for k in keys}
+        return pa.table({**head, **{a: pa.array(new[a].astype(np.int32)) for a in AXES}, "d2": pa.array(best[one, at])})
+
+    return run
+
+
 def squared_distance(mask: DataFrame, volumes: DataFrame, max_radius: float | None = None, keys=KEYS) -> DataFrame:
     """``d2``: squared Euclidean distance of each voxel to the nearest foreground voxel, up to ``max_radius``.
 
-    Exact and separable: along each axis in turn, the least ``d2 + (i - j)^2`` within a line. A voxel spreads no
-    farther along its line than the radius or the volume, which bounds the rows.
+    Exact and separable, axis after axis. A task takes a chunk of ``LINES`` x ``LINES`` neighbouring lines into an array; within a line an
+    offset is tried as long as its square may still improve some place, so the cost follows the distances, not the square of the line.
     """
-    now = mask.select(*_place(keys)).withColumn("d2", F.lit(0).cast("long"))
+    now = mask.select(*_place(keys)).distinct().withColumn("d2", F.lit(0).cast("long"))
     for a, d in zip(reversed(AXES), ("width", "height", "depth"), strict=True):
-        low, high = F.lit(0), F.col(d) - 1
-        if max_radius is not None:
-            low, high = F.greatest(low, F.col(a) - int(max_radius)), F.least(high, F.col(a) + int(max_radius))
-        spread = now.join(volumes.select(*keys, d), list(keys)).withColumn("_j", F.explode(F.sequence(low, high)))
-        others = [b for b in AXES if b != a]
-        now = spread.groupBy(*keys, *others, F.col("_j").alias(a)).agg(F.min(F.col("d2") + (F.col("_j") - F.col(a)) * (F.col("_j") - F.col(a))).alias("d2"))
-    return (now if max_radius is None else now.where(F.col("d2") <= max_radius * max_radius)).select(*_place(keys), "d2")
+        chunk = [F.floor(F.col(b) / LINES).cast("int").alias(f"_{b}") for b in AXES if b != a]
+        rows = now.join(volumes.select(*keys, F.col(d).alias("_n")), list(keys)).select("*", *chunk)
+        by = [*keys, *[f"_{b}" for b in AXES if b != a]]
+        now = rows.groupBy(*by).applyInArrow(_nearest_in_lines(a, list(keys), max_radius), ddl(now, [*_place(keys), "d2"]))
+    return now
 
 
 def edt(mask: DataFrame, volumes: DataFrame, max_radius: float | None = None, keys=KEYS) -> DataFrame:

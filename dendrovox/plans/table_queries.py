@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dendrovox.functions.grid import ball, cross
@@ -224,13 +225,15 @@ for _mode, _test in ((0, "marker is null"), (1, "marker is not null"), (2, "true
 
 
 def catalog(spark, d) -> DataFrame:
+    """The catalog of the first folder; spacings by names without ``_plain``, so that some are known numbers."""
+    named = name_a(spark, d).withColumn("name", F.replace("name", F.lit("_plain"), F.lit("")))
     images = name_a(spark, d).select("name", F.concat(F.lit("/data/"), "name").alias("path"))
     sizes = name_a(spark, d).select("id", (F.col("id") % 7 + 10).cast("int").alias("depth"), (F.col("id") % 5 + 20).cast("int").alias("height"), (F.col("id") % 3 + 30).cast("int").alias("width"))
-    spacing = R.spacing_lookup(name_a(spark, d), fixture(spark, d, "f_raw_info"))
+    spacing = R.spacing_lookup(named, fixture(spark, d, "f_raw_info"))
     return R.build_catalog(images, sizes, spacing)
 
 
-CATALOG = "(select id as \"ID\", regexp_replace(name, '\\.[^.]*$', '') as full_name, 'image_' || lpad(cast(id as varchar), cast(greatest(3, length(cast(id as varchar))) as int), '0') as nnunet_name, coalesce(resolution / 1000, 1.0) as sy, cast(id % 7 + 10 as int) as depth, cast(id % 5 + 20 as int) as height, cast(id % 3 + 30 as int) as width, '/data/' || name as v3draw_path from f_name_a left join f_raw_info on id = number)"
+CATALOG = "(select id as \"ID\", regexp_replace(name, '\\.[^.]*$', '') as full_name, 'image_' || lpad(cast(id as varchar), cast(greatest(3, length(cast(id as varchar))) as int), '0') as nnunet_name, coalesce(resolution / 1000, 1.0) as sy, cast(id % 7 + 10 as int) as depth, cast(id % 5 + 20 as int) as height, cast(id % 3 + 30 as int) as width, '/data/' || name as v3draw_path from f_name_a left join f_raw_info on try_cast(string_split(replace(name, '_plain', ''), '.')[1] as double) = number)"
 
 
 @register("r06_build_catalog", f"select \"ID\", full_name, nnunet_name, round(sy, 6) as sy, depth, height, width, v3draw_path from {CATALOG}")
@@ -388,16 +391,27 @@ def main_markers(spark, d) -> DataFrame:
     return fixture(spark, d, "f_marker").withColumn("main", F.col("ord") % 3 == 0)
 
 
-@register("s05_markers", "select image_id, ord, x / 2 as x, y / 2 as y, z / 2 as z, 1.0::double as r, case when ord % 3 = 0 then 255 else 0 end as red from f_marker")
+def marker_files_at(spark, d) -> str:
+    """The folder to which the markers were written, a file for each image."""
+    path = new_path(spark, "markers")
+    S.write_markers(main_markers(spark, d), path)
+    return path
+
+
+@register("s05_markers", "select image_id, row_number() over (partition by image_id order by ord) - 1 as ord, x / 2 as x, y / 2 as y, z / 2 as z, 1.0::double as r, case when ord % 3 = 0 then 255 else 0 end as red from f_marker")
 def s05(spark, d):
-    lines = S.marker_lines(main_markers(spark, d)).select("image_id", F.col("ord").alias("line"), "value")
-    lines = lines.union(lines.select("image_id", F.lit(-1).alias("line"), F.lit("#x, y, z, radius").alias("value")).distinct())
-    return S.parse_markers(lines, 0.5).select("image_id", "ord", "x", "y", "z", "r", F.col("color.r").alias("red"))
+    found = S.read_markers(spark, f"{marker_files_at(spark, d)}/*/*.txt", 0.5)
+    image = F.regexp_extract("image_id", "image_id=([0-9]+)", 1).cast("long")
+    return found.select(image.alias("image_id"), F.col("ord").cast("long").alias("ord"), "x", "y", "z", "r", F.col("color.r").alias("red"))
 
 
 @register("s06_marker_lines", f"select image_id, ord, {MARKER_TEXT} as value from f_marker")
 def s06(spark, d):
-    return S.marker_lines(main_markers(spark, d))
+    """The lines as the files hold them, numbered again by the markers' order."""
+    text = spark.read.text(f"{marker_files_at(spark, d)}/*/*.txt", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "image_id=([0-9]+)", 1).cast("long").alias("image_id"), F.posexplode(F.split("value", "\n")).alias("_line", "value"))
+    order = F.row_number().over(Window.partitionBy("image_id").orderBy("ord")) - 1
+    numbered = main_markers(spark, d).select("image_id", "ord").withColumn("_line", order)
+    return text.where("value <> ''").join(numbered, ["image_id", "_line"]).select("image_id", "ord", "value")
 
 
 @register("s07_catalog_csv", f"select \"ID\", full_name, nnunet_name, '(' || depth || ', ' || height || ', ' || width || ')' as img_size, v3draw_path from {CATALOG}")
@@ -416,7 +430,9 @@ def s08(spark, d):
 
 @register("s09_spacing_sidecar", f"select nnunet_name as name, '{{\"spacing\":[1.0,' || cast(sy as varchar) || ',' || cast(sy as varchar) || ']}}' as value from {CATALOG}")
 def s09(spark, d):
-    return S.spacing_sidecar(catalog(spark, d))
+    path = new_path(spark, "sidecars")
+    S.write_spacing(catalog(spark, d), path)
+    return spark.read.text(path).select("name", "value")
 
 
 @register("s10_predecessor_store", "select volume_id, z, y, x, intensity % 27 as pred_code from f_voxel")

@@ -132,9 +132,15 @@ def load_predecessor(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("volume_id long, z int, y int, x int, pred_code int").parquet(path)
 
 
+#: Path points in a file, about.
+POINTS = 1_000_000
+
+
 def save_paths(paths: DataFrame, path: str) -> None:
-    """A folder for each volume, of four files at most."""
-    paths.repartition("volume_id", F.pmod(F.xxhash64("path_id"), F.lit(4))).write.mode("overwrite").partitionBy("volume_id").parquet(path)
+    """A folder for each volume, of one file for each million of its points; a path lies in one file."""
+    shares = paths.groupBy("volume_id").agg((1 + F.floor(F.count(F.lit(1)) / POINTS)).alias("_shares"))
+    dealt = paths.join(shares, "volume_id").withColumn("_share", F.pmod(F.xxhash64("path_id"), F.col("_shares")))
+    dealt.repartition("volume_id", "_share").drop("_shares", "_share").write.mode("overwrite").partitionBy("volume_id").parquet(path)
 
 
 def load_paths(spark: SparkSession, path: str) -> DataFrame:
