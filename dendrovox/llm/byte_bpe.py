@@ -6,6 +6,10 @@ higher-order functions do the rest in the stage of the scan, without a shuffle:
 the pair of the lowest rank again and again, looking ranks up in a literal map; a document's ids are its words' ids,
 one after the other. Decoding looks the binary piece of each id up in a literal array and concatenates the pieces.
 
+Words that many blocks share would be folded in each: those met in two documents or more of a bounded sample (``COMMON_DOCS``
+documents, ``COMMON`` words of ``COMMON_BYTES`` bytes at most) are folded once by the same expression and enter all blocks as a literal. The sample
+decides only how often a word is folded, never its ids.
+
 The fold is quadratic in a word's bytes, so words over ``MAX_FOLD_BYTES`` (and those that are in the vocabulary as they are)
 enter it merged already, by the same ranks. No table of words is gathered anywhere: memory follows the block, and a
 text longer than a block is a block of its own.
@@ -34,6 +38,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters in a block, about: words are merged once a block.
 BLOCK = 16_000_000
 MAX_FOLD_BYTES = 256
+#: Documents looked at for common words, and the most words, and bytes of a word, that are kept.
+COMMON_DOCS, COMMON, COMMON_BYTES = 4_000, 120_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,9 +164,8 @@ def fold_merges(word, known: RankMap, cells, factors) -> F.Column:
     return F.transform(F.when(F.size(word) > 1, merged).otherwise(word), lambda x: below(x).cast("int"))
 
 
-def word_blocks(docs: DataFrame, ranks: dict[bytes, int], known: RankMap, block: int = BLOCK) -> DataFrame:
-    """``docs`` (``doc_id`` and the numbers of its words) and ``words`` (as ``fold_merges`` takes them) of each block of texts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _ranked(ranks: dict[bytes, int], known: RankMap):
+    """A function that makes words into arrays as ``fold_merges`` takes them."""
     byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
     no_rank = known.none << known.bits  # workers do not need the map itself
     beside = np.array([[ranks.get(bytes([a, b]), known.none) for b in range(256)] for a in range(256)], np.int64) << known.bits
@@ -179,8 +184,38 @@ def word_blocks(docs: DataFrame, ranks: dict[bytes, int], known: RankMap, block:
         out[~at] = np.array([i for k in sorted(done) for i in done[k]], np.int64) | no_rank
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(out))
 
+    return ranked
+
+
+def common_words(docs: DataFrame) -> list[str]:
+    """Words that several documents of a bounded sample hold, the most common first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for some in chunks(b["text"].to_pylist()):
+                joined, _, first, end, hashed, before = split(some)
+                doc = np.repeat(np.arange(len(some)), np.diff(before)).astype(np.uint64)
+                _, one = np.unique(hashed * np.uint64(0x9E3779B97F4A7C15) + doc, return_index=True)
+                one = one[end[one] - first[one] <= COMMON_BYTES]
+                words, n = np.unique(np.array([joined[i:j] for i, j in zip(first[one].tolist(), end[one].tolist(), strict=True)], object), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+
+    every = max(1, docs.count() // COMMON_DOCS)
+    each = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "word string, n long")
+    most = each.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= COMMON_BYTES))
+    return [r["word"] for r in most.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
+
+
+def word_blocks(docs: DataFrame, ranks: dict[bytes, int], known: RankMap, block: int = BLOCK, common: list[str] = ()) -> DataFrame:
+    """``docs`` (``doc_id`` and the numbers of its words) and ``words`` (as ``fold_merges`` takes them) of each block of texts.
+
+    The words of ``common`` have the first numbers, and are not among a block's ``words``.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ranked, seeded = _ranked(ranks, known), Numbers.of(list(common))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, numbers, chars = [], [], Numbers(), 0
+        ids, words, numbers, chars = [], [], seeded.copy(), 0
         held: list[tuple[np.ndarray, np.ndarray]] = []  # numbers of words, and how many before each text
 
         def close() -> pa.RecordBatch:
@@ -200,7 +235,7 @@ def word_blocks(docs: DataFrame, ranks: dict[bytes, int], known: RankMap, block:
                 at, chars = at + len(some), chars + len(joined)
                 if chars >= block:
                     yield close()
-                    ids, words, numbers, chars, held = [], [], Numbers(), 0, []
+                    ids, words, numbers, chars, held = [], [], seeded.copy(), 0, []
         if ids:
             yield close()
 
@@ -212,9 +247,13 @@ def encode_documents(docs: DataFrame, ranks_path: str = RANKS, block: int = BLOC
     ranks = read_ranks(ranks_path)
     known = RankMap(ranks)
     cells, factors = known.literals()
-    merged = let(cells, lambda c: let(factors, lambda s: F.transform("words", lambda w: fold_merges(w, known, c, s))))
+    common = common_words(docs)
+    fold = lambda column: let(cells, lambda c: let(factors, lambda s: F.transform(column, lambda w: fold_merges(w, known, c, s))))
+    whole_words = docs.sparkSession.createDataFrame(pa.table({"words": pa.array([_ranked(ranks, known)([w.encode() for w in common]).to_pylist()], pa.list_(pa.list_(pa.int64())))}))
+    first = F.from_json(F.lit(json.dumps(whole_words.select(fold("words")).first()[0], separators=(",", ":"))), "array<array<int>>")
+    merged = F.concat(first, fold("words"))
     whole = let(merged, lambda m: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["words"], lambda i: F.get(m, i))).alias("ids"))))
-    return word_blocks(docs, ranks, known, block).select(F.explode(whole).alias("d")).select("d.doc_id", "d.ids")
+    return word_blocks(docs, ranks, known, block, common).select(F.explode(whole).alias("d")).select("d.doc_id", "d.ids")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str = RANKS) -> DataFrame:

@@ -136,6 +136,29 @@ class Numbers:
     def __len__(self) -> int:
         return self.start.size - 1
 
+    @classmethod
+    def of(cls, pieces: list[str]) -> Numbers:
+        """Numbers that know some different pieces already, in their order."""
+        numbers, sizes = cls(), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        joined = "".join(pieces)
+        code, end = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(sizes)
+        hashed = prefix_hashes(code)(end - sizes, end)
+        order = np.argsort(hashed, kind="stable")
+        numbers._add(code, end - sizes, sizes)
+        first = np.append(True, hashed[order][1:] != hashed[order][:-1]) if len(order) else np.empty(0, bool)
+        numbers.keys, numbers.slot = hashed[order][first], order[first]
+        numbers.odd = {pieces[i]: i for i in order[~first].tolist()}
+        return numbers
+
+    def copy(self) -> Numbers:
+        """Another of the same knowledge, which goes on by itself."""
+        other = Numbers()
+        other.keys, other.slot, other.odd = self.keys, self.slot, dict(self.odd)
+        for name in ("start", "codes"):
+            mine = getattr(self, name)
+            getattr(other, name).buffer, getattr(other, name).size = mine.all.copy(), mine.size
+        return other
+
     def _add(self, code: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
         self.start.extend(self.codes.size + np.cumsum(sizes))
         self.codes.extend(code[spans(first, sizes)])
