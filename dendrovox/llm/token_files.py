@@ -16,7 +16,9 @@ among equals; an empty table gives an empty directory of the same schema; other
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -67,14 +69,40 @@ def tokenizer_table(path: str) -> PieceTable:
     return PieceTable(one_by_one(lambda piece: [t.id for t in merged(piece.encode().decode("latin-1").translate(spell))]), TABLE)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, docs_per_file: int = DOCS_PER_FILE) -> DataFrame:
-    """Write the ids of ``docs`` (``doc_id, text``) to ``path`` and return the table read back from there."""
+@lru_cache(1)
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that the file adds to its model, which the library cuts out of a text before it is split."""
+    with open(path) as file:
+        found = json.load(file).get("added_tokens") or []
+    if odd := [t["content"] for t in found if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]:
+        raise ValueError(f"added tokens that take in what is around them are not supported: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
+def encode_texts(pieces: PieceTable, texts: list[str | None], added: dict[str, int]) -> Iterator[np.ndarray]:
+    """The ids of each text, null as empty: added tokens by their ids (leftmost first, of those the longest), what is between by its pieces."""
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+    split = [cut.split(t) if cut and t and cut.search(t) else [t] for t in texts]  # text, token, text, ...
+    ids = (found for found, _, _ in pieces.documents([t for parts in split for t in parts[::2]]))
+    for parts in split:
+        out = [next(ids)]
+        for token in parts[1::2]:
+            out += [np.array([added[token]], np.uint32), next(ids)]
+        yield out[0] if len(out) == 1 else np.concatenate(out)
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, docs_per_file: int = DOCS_PER_FILE, special_text: bool = False) -> DataFrame:
+    """Write the ids of ``docs`` (``doc_id, text``) to ``path`` and return the table read back from there.
+
+    ``special_text``: strings like those of the file's added tokens are ordinary text; else they are those tokens, as the library has it.
+    """
     spark, files = docs.sparkSession, max(1, docs.count() // docs_per_file)
+    added = {} if special_text else added_tokens(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, shard, start = tokenizer_table(tokenizer), TaskContext.get().partitionId(), 0
         for b in slices(batches):
-            each = [np.append(ids, end_id).astype(np.int32) for ids, _, _ in pieces.documents(b["text"].to_pylist())]
+            each = [np.append(ids, end_id).astype(np.int32) for ids in encode_texts(pieces, b["text"].to_pylist(), added)]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
             ends = np.cumsum(sizes)
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(each)))
@@ -102,7 +130,7 @@ def document_starts(files: DataFrame, rows: DataFrame | None = None) -> DataFram
     """
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("t"))  # a row for each file
     before = totals.select("shard", (F.sum("t").over(Window.orderBy("shard")) - F.col("t")).alias("before"))
-    return (files if rows is None else rows).join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("start_in_shard")).drop("before")
+    return (files if rows is None else rows).join(before, "shard").withColumn("start", F.col("before") + F.col("start_in_shard")).drop("before")
 
 
 def ids_checksum(files: DataFrame) -> DataFrame:

@@ -274,6 +274,19 @@ def test_token_files_round_trip(spark, tmp_path):
         start += len(ids)
 
 
+def test_added_tokens_are_as_the_library_has_them(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end + end, f"{end}start", f"the end {end}", f"  {end}  {end}\n", "<|endoftext|", f"x{end}y\u00e9{end}{end} z", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tok = Tokenizer.from_file(token_files.TOKENIZER)
+    for special_text in (False, True):
+        tok.encode_special_tokens = special_text
+        got = {r["doc_id"]: r["ids"] for r in token_files.write_token_files(df, f"file://{tmp_path}/{special_text}", special_text=special_text).collect()}
+        assert got == {k: [*tok.encode(t or "", add_special_tokens=False).ids, token_files.END_ID] for k, t in enumerate(texts)}
+
+
 def test_token_files_encodings(spark, tmp_path):
     import pyarrow.parquet as pq
 
