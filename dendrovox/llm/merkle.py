@@ -30,7 +30,6 @@ from dendrovox.plans.iterate import materialize, settle
 ARITY = 3
 #: Levels of a block: a task appends as many as 3^5 nodes.
 LEVELS = 5
-BLOCK = ARITY**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: A tree is named by whether its rows have a source, and the source.
 TREE = ["named", "name"]
@@ -84,13 +83,13 @@ class Appender:
             level += 1
 
 
-def _closed(nodes: pa.Table) -> tuple[Appender, str, pa.Table]:
+def _closed(nodes: pa.Table, levels: int) -> tuple[Appender, str, pa.Table]:
     """A block's nodes appended in order: (the tree, the block's root, the nodes in order)."""
     nodes = nodes.sort_by("at")
     tree = Appender()
     for digest in nodes["digest"].to_pylist():
         tree.append(digest)
-    return tree, tree.close(None if nodes["n"][0].as_py() <= BLOCK else LEVELS), nodes
+    return tree, tree.close(None if nodes["n"][0].as_py() <= ARITY**levels else levels), nodes
 
 
 def leaf(fields=FIELDS, text: Column | None = None) -> Column:
@@ -127,17 +126,19 @@ def number(rows: DataFrame, order: list[str]) -> DataFrame:
     return each.join(small_side(sums), [*TREE, "part"]).withColumn("at", F.col("at") + F.col("_before")).drop("_before", "part")
 
 
-def climb(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def climb(nodes: DataFrame, levels: int = LEVELS) -> tuple[list[DataFrame], list[DataFrame]]:
     """Of a table ``named, name, at, n, digest``: (the nodes of each round; the trees that end in each round, with their root)."""
 
+    size = ARITY**levels
+
     def close(block: pa.Table) -> pa.Table:
-        _, root, block = _closed(block)
+        _, root, block = _closed(block, levels)
         first = block.slice(0, 1)
-        return pa.table({"named": first["named"], "name": first["name"], "at": pa.array([first["at"][0].as_py() // BLOCK]), "n": pa.array([-(-first["n"][0].as_py() // BLOCK)]), "digest": [root]})
+        return pa.table({"named": first["named"], "name": first["name"], "at": pa.array([first["at"][0].as_py() // size]), "n": pa.array([-(-first["n"][0].as_py() // size)]), "digest": [root]})
 
     rounds, ended = [nodes], []
     while True:
-        now = rounds[-1].select(*TREE, "at", "n", "digest", F.expr(f"at div {BLOCK}").alias("block"))
+        now = rounds[-1].select(*TREE, "at", "n", "digest", F.expr(f"at div {size}").alias("block"))
         schema = "named boolean, name string, at long, n long, digest string"
         roots = materialize(now.groupBy(*TREE, "block").applyInArrow(close, schema), "roots")
         ended.append(roots.where("n = 1").select(*TREE, F.col("digest").alias("root")))
@@ -147,11 +148,11 @@ def climb(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         rounds.append(more)
 
 
-def _extender(keep: list[str]):
+def _extender(keep: list[str], levels: int):
     """A function of a block and what its root has gathered above: the block's nodes with their whole witness."""
 
     def extend(nodes: pa.Table, over: pa.Table) -> pa.Table:
-        tree, _, nodes = _closed(nodes)
+        tree, _, nodes = _closed(nodes, levels)
         more = over["witness"][0].as_py()
         whole = [[*({"left": a, "right": b} for a, b in w), *more] for w in tree.witness]
         found = {c: nodes[c] for c in (*TREE, "at", *keep)}
@@ -160,7 +161,7 @@ def _extender(keep: list[str]):
     return extend
 
 
-def descend(rounds: list[DataFrame], above: list[DataFrame], carry: list[str]) -> DataFrame:
+def descend(rounds: list[DataFrame], above: list[DataFrame], carry: list[str], levels: int = LEVELS) -> DataFrame:
     """The leaves with ``witness``, their columns ``carry``, and ``top`` of their tree.
 
     ``above``: for each round the trees that end in it, with what their root has gathered (``witness``) and ``top``.
@@ -171,15 +172,15 @@ def descend(rounds: list[DataFrame], above: list[DataFrame], carry: list[str]) -
         if known is not None:
             over = over.unionByName(known.select(*TREE, F.col("at").alias("block"), "top", "witness"))
         keep = [] if k else carry
-        nodes = rounds[k].select(*TREE, "at", "n", "digest", *keep, F.expr(f"at div {BLOCK}").alias("block"))
+        nodes = rounds[k].select(*TREE, "at", "n", "digest", *keep, F.expr(f"at div {ARITY**levels}").alias("block"))
         schema = ddl(nodes, [*TREE, "at", *keep], f"top string, witness {WITNESS}")
-        known = nodes.groupBy(*TREE, "block").cogroup(over.groupBy(*TREE, "block")).applyInArrow(_extender(keep), schema)
+        known = nodes.groupBy(*TREE, "block").cogroup(over.groupBy(*TREE, "block")).applyInArrow(_extender(keep, levels), schema)
         if k:
             known = materialize(known, "witnesses")
     return known
 
 
-def merkle_manifest(docs: DataFrame, fields=FIELDS, source: str = "source", row: str = "doc_id", carry: dict[str, Column] | None = None) -> DataFrame:
+def merkle_manifest(docs: DataFrame, fields=FIELDS, source: str = "source", row: str = "doc_id", carry: dict[str, Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """A row for each row of ``docs``: its column ``row``, the ``carry`` columns, ``leaf, subroot, root, witness``.
 
     ``witness``: what stands to the left and to the right of the row's subtree in its run, level by level up to the root.
@@ -189,19 +190,19 @@ def merkle_manifest(docs: DataFrame, fields=FIELDS, source: str = "source", row:
     trees = [F.col(source).isNotNull().alias("named"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name")]
     digest = leaf(fields)
     leaves = materialize(docs.select(*trees, digest.alias("digest"), digest.alias("leaf"), *[c.alias(names[n]) for n, c in more.items()]), "leaves")
-    rounds, ended = climb(number(leaves, [names[row], "digest"]))
+    rounds, ended = climb(number(leaves, [names[row], "digest"]), levels)
     roots = ended[0]
     for some in ended[1:]:
         roots = roots.unionByName(some)
     one_tree = roots.select(F.lit(True).alias("named"), F.lit("").alias("name"), F.col("named").alias("is_named"), F.col("name").alias("of"), F.col("root").alias("digest"), F.col("root").alias("subroot"))
-    top_rounds, top_ended = climb(number(one_tree, ["is_named", "of"]))
+    top_rounds, top_ended = climb(number(one_tree, ["is_named", "of"]), levels)
     found = [some.first() for some in top_ended]
     root = next((r["root"] for r in found if r), None)
     nothing = F.array().cast(WITNESS)
     over = [some.select(*TREE, F.col("root").alias("top"), nothing.alias("witness")) for some in top_ended]
-    gathered = materialize(descend(top_rounds, over, ["is_named", "of", "subroot"]).select(F.col("is_named").alias("named"), F.col("of").alias("name"), F.col("subroot").alias("top"), "witness"), "sources")
+    gathered = materialize(descend(top_rounds, over, ["is_named", "of", "subroot"], levels).select(F.col("is_named").alias("named"), F.col("of").alias("name"), F.col("subroot").alias("top"), "witness"), "sources")
     above = [some.select(*TREE).join(gathered, TREE) for some in ended]
-    out = descend(rounds, above, ["leaf", *names.values()])
+    out = descend(rounds, above, ["leaf", *names.values()], levels)
     return out.select(*[F.col(c).alias(n) for n, c in names.items()], "leaf", F.col("top").alias("subroot"), F.lit(root).cast("string").alias("root"), "witness")
 
 
@@ -210,14 +211,18 @@ def folded(start: Column, witness: str = "witness") -> Column:
     return F.aggregate(witness, start, lambda below, w: F.sha2(F.concat(w["left"], below, w["right"]).cast("binary"), 256))
 
 
-def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+def audit(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """Each row's proof, and the root that its tampered text (without newlines, for every other crc32 of doc_id) folds to."""
     struck = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
     tampered = F.when(struck, leaf(text=F.translate("text", "\n", "")))
-    rows = merkle_manifest(docs, carry={"tampered": tampered})
+    rows = merkle_manifest(docs, carry={"tampered": tampered}, levels=levels)
     proof = F.sha2(F.array_join(F.transform("witness", lambda w: F.concat(w["left"], w["right"])), "").cast("binary"), 256)
     out = rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded(F.coalesce("tampered", "leaf")).alias("folded_root"))
-    return settle(lambda: out.withColumn("verified", F.col("folded_root") == F.col("root")), "manifest")
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(lambda: audit(table(spark, sf_dir, "documents")), "manifest")
 
 
 def _oracle(levels: int = 16, top_levels: int = 10) -> str:
@@ -228,7 +233,7 @@ def _oracle(levels: int = 16, top_levels: int = 10) -> str:
     crc = f"list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: {step})"
     sql = [
         f"""with given as materialized (select doc_id, source, {row('text')} as leaf,
-             case when {crc} & 1 = 1 then {row("replace(text, chr(10), '')")} end as struck from documents),
+             case when doc_id is not null and {crc} & 1 = 1 then {row("replace(text, chr(10), '')")} end as struck from documents),
         leaves as materialized (select *, coalesce(struck, leaf) as checked, source is not null as named, coalesce(source, '') as name,
              row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from given),
         a0 as materialized (select named, name, i, leaf as h, count(*) over (partition by named, name) as c from leaves)"""

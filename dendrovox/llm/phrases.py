@@ -100,7 +100,7 @@ def stripes_of(lang: str, text: bytes, segments: int) -> pa.RecordBatch:
     )
 
 
-def _spans(text: bytes, size: int = BLOCK) -> Iterator[bytes]:
+def _spans(text: bytes, size: int) -> Iterator[bytes]:
     """The prepared text in parts of about ``size`` bytes, cut where a piece ends."""
     at = 0
     while at < len(text):
@@ -110,14 +110,14 @@ def _spans(text: bytes, size: int = BLOCK) -> Iterator[bytes]:
         at = end
 
 
-def count_stripes(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
+def count_stripes(batches: Iterator[pa.RecordBatch], segments: int, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Stripes of rows ``lang, text``, block by block."""
     held: dict[str, list[bytes]] = {}
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang in list(held):
-            for span in _spans(b"\n".join(held.pop(lang))):
+            for span in _spans(b"\n".join(held.pop(lang)), block):
                 out = stripes_of(lang, span, segments)
                 for k in range(0, out.num_rows, 50_000):
                     yield out.slice(k, 50_000)
@@ -127,7 +127,7 @@ def count_stripes(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[
             if text:
                 held.setdefault(lang, []).append(text.encode().translate(_TABLE))
                 size += len(held[lang][-1])
-                if size >= BLOCK:
+                if size >= block:
                     yield from flush()
                     size = 0
     yield from flush()
@@ -180,14 +180,14 @@ def merge(rows: pa.Table, least: int) -> tuple[pa.RecordBatch, pa.Table]:
     return pa.RecordBatch.from_arrays(out, schema=MERGED), keep
 
 
-def merge_stripes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def merge_stripes(batches: Iterator[pa.RecordBatch], least: int, unit: int = UNIT) -> Iterator[pa.RecordBatch]:
     """``merge`` over sorted stripes, a slice at a time; a prefix that the slice's end cuts goes on as one stripe."""
     held, size = [], 0
     for b in batches:
         if b.num_rows:
             held.append(pa.Table.from_batches([b]).cast(STRIPE))
             size += b.num_rows
-        if size >= UNIT:
+        if size >= unit:
             out, rest = merge(pa.concat_tables(held), least)
             held, size = [rest], 1
             yield out
@@ -196,27 +196,28 @@ def merge_stripes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
         yield merge(pa.concat_tables([*held, end]), least)[0]
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = LEAST, block: int = BLOCK, unit: int = UNIT, segment: int = SEGMENT_BYTES) -> DataFrame:
     """``lang, prefix, next, n``: prefixes of one and two words with their totals (``next`` null), extensions to three
     words, of ``least`` occurrences and more; ``prefix`` empty: all words of the lang."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    segments = 1 + size // SEGMENT_BYTES
+    segments = 1 + size // segment
     floor = least if segments == 1 else 1  # totals of a cut stripe are not known before its segments are summed
-    stripes = texts.mapInArrow(lambda b: count_stripes(b, segments), "lang string, prefix string, segment int, nexts string, counts binary")
+    stripes = texts.mapInArrow(lambda b: count_stripes(b, segments, block), "lang string, prefix string, segment int, nexts string, counts binary")
     key = ["lang", "prefix", "segment"]
     gathered = stripes.repartition(*key).sortWithinPartitions(F.xxhash64(*key), *key)
-    merged = materialize(gathered.mapInArrow(lambda b: merge_stripes(b, floor), "lang string, prefix string, next string, n long"), "stripes")
+    merged = materialize(gathered.mapInArrow(lambda b: merge_stripes(b, floor, unit), "lang string, prefix string, next string, n long"), "stripes")
     return merged.groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("prefix") == "", 1).otherwise(least))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int | None = TOP) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int | None = TOP, **sizes: int) -> DataFrame:
     """The phrases of two and three words by score: ``lang, rank, phrase, a, l, r, n, score``.
 
     A phrase scores the least of its cuts; one whose words lie in a longer phrase that has ``share`` percent of its
-    occurrences goes. ``top``: as many of each lang; all, if None.
+    occurrences goes. ``top``: as many of each lang; all, if None. ``sizes``: those of
+    ``phrase_counts``.
     """
-    counts = materialize(phrase_counts(docs, least), "counts")
+    counts = materialize(phrase_counts(docs, least, **sizes), "counts")
     known = counts.where("next is null and prefix <> ''").select("lang", F.col("prefix").alias("words"), "n")
     longer = counts.where("next is not null").select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.col("n").alias("a"))
     two = known.where(F.contains("words", F.lit(" "))).select("lang", F.col("words").alias("phrase"), F.col("n").alias("a"))
