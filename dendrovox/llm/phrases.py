@@ -60,7 +60,7 @@ def words_of(text: bytes) -> tuple[np.ndarray, pa.Array]:
 
 
 def stripes_of(lang: str, text: bytes, segments: int) -> pa.RecordBatch:
-    """The stripes of one block of prepared text, one-word prefixes included."""
+    """The stripes of one block of prepared text, one-word prefixes included; ``counts`` is empty where all are 1."""
     code, words = words_of(text)
     base = len(words)
     part = np.array([zlib.crc32(w.encode()) % segments for w in words.to_pylist()], np.int64) if segments > 1 else np.zeros(base, np.int64)
@@ -84,9 +84,10 @@ def stripes_of(lang: str, text: bytes, segments: int) -> pa.RecordBatch:
     nexts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words.take(pa.array(third))), " ")
     owner = pair[which[starts]]
     prefixes = pc.binary_join_element_wise(words.take(pa.array(owner // base)), words.take(pa.array(owner % base)), " ")
-    sizes = np.concatenate([np.diff(ends), np.ones(len(alone), np.int32)])
-    offsets = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
-    packed = np.concatenate([n, counts[alone]]).astype(np.int64)
+    sizes, packed = np.concatenate([np.diff(ends), np.ones(len(alone), np.int64)]).astype(np.int64), np.concatenate([n, counts[alone]]).astype(np.int64)
+    ones = np.maximum.reduceat(packed, np.cumsum(sizes) - sizes) == 1 if len(sizes) else np.empty(0, bool)  # most stripes: their counts need no bytes
+    packed = packed[~np.repeat(ones, sizes)]
+    offsets = np.concatenate([[0], np.cumsum(np.where(ones, 0, sizes) * 8)]).astype(np.int32)
     rows = len(sizes)
     return pa.RecordBatch.from_arrays(
         [
@@ -143,9 +144,11 @@ def merge(rows: pa.Table, least: int) -> tuple[pa.RecordBatch, pa.Table]:
     for c in (lang, prefix, segment):
         new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
     starts, run = np.flatnonzero(new), np.cumsum(new) - 1
-    sizes = pc.binary_length(counts).to_numpy() // 8
-    n = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), counts), b"")[0].as_buffer(), np.int64)
-    words = pc.split_pattern(nexts, " ").flatten().dictionary_encode()
+    lists = pc.split_pattern(nexts, " ")
+    sizes, given = pc.list_value_length(lists).to_numpy(), pc.binary_length(counts).to_numpy() > 0
+    n = np.ones(int(sizes.sum()), np.int64)
+    n[np.repeat(given, sizes)] = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), counts), b"")[0].as_buffer(), np.int64)
+    words = lists.flatten().dictionary_encode()
     code, base = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
     key = np.repeat(run, sizes) * base + code
     order = np.argsort(key, kind="stable")
