@@ -11,7 +11,7 @@ from dendrovox.plans import field_queries, table_queries, voxel_queries  # noqa:
 
 SF = "/root/testdata/sf0.001"
 #: Iterative queries whose twins take long; a few stand for all here, the driver's gate runs every one.
-SLOW = {"d01_components_6", "d02_largest", "d03_remove_small", "d06_count", "v12_min_diameter", "g09_path_tree", "t06_connect_to_soma"}
+SLOW = {"v10_progressive_open", "d09_soma_region", "d10_soma_center", "d12_multi_soma_region", "d13_main_soma_region", "g12_volume_predecessors", "d01_components_6", "d02_largest", "d03_remove_small", "d06_count", "v12_min_diameter", "g09_path_tree", "t06_connect_to_soma"}
 #: The smallest tables have a source with too few neighbours for these.
 EMPTY = {"g07_sample_paths", "g13_paths_to_swc", "g14_paths_on_mip", "l01_path_masks"}
 TWINS = voxel_queries.ORACLES
