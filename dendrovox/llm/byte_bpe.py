@@ -36,10 +36,12 @@ from dendrovox.llm.pieces import Numbers, chunks, split
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters in a block, about: words are merged once a block.
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 MAX_FOLD_BYTES = 256
 #: Documents looked at for common words, and the most words, and bytes of a word, that are kept.
-COMMON_DOCS, COMMON, COMMON_BYTES = 4_000, 120_000, 48
+COMMON_DOCS, COMMON, COMMON_BYTES = 16_000, 120_000, 48
+#: Common words that a task folds.
+FOLDED = 1 << 15
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -111,6 +113,8 @@ class RankMap:
                 return False
             taken[place], factors[first[group[0]]] = True, factor
             cells[place] = pair[group] << self.bits | rank[group]
+        if not taken[0]:  # where the pair of ids 0 and 0 is looked up, which an empty cell would pass for
+            cells[0] = self.none
         self.cells, self.factors = cells.tolist(), factors.tolist()
         return True
 
@@ -128,7 +132,8 @@ class RankMap:
         first = F.shiftright(pair * _TURN, 22).bitwiseAND(self.firsts - 1)
         place = F.shiftright(pair * F.get(factors, first.cast("int")), 18).bitwiseAND(self.size - 1)
         cell = F.get(cells, place.cast("int"))
-        return F.when(F.shiftright(cell, self.bits) == pair, cell.bitwiseAND(self.none)).otherwise(F.lit(self.none).cast("long"))
+        # a cell of another pair keeps a bit above the ranks; written so that each part is evaluated once
+        return F.least(cell.bitwiseXOR(F.shiftleft(pair, self.bits)), F.lit(self.none).cast("long"))
 
 
 def let(value, then) -> F.Column:
@@ -141,27 +146,29 @@ def fold_merges(word, known: RankMap, cells, factors) -> F.Column:
 
     An element of ``word`` and of the state is a part's id below the rank of its concatenation with the next part.
     """
-    above = lambda x: F.shiftright(x, known.bits)
-    below = lambda x: x.bitwiseAND(known.none)
+    id_of = lambda x: x.bitwiseAND(known.none)
     both = lambda a, b: F.shiftleft(a, known.bits).bitwiseOR(b)
+    absent = F.lit(known.none).cast("long")
 
     def step(state, _):
-        def merge_at(k):
-            """Parts k and k + 1 become one; the ranks of its pairs with the parts beside it are looked up."""
-            made = above(F.get(state, k))
-            pairs = F.array(F.when(k > 0, both(below(F.get(state, k - 1)), made)), both(made, below(F.get(state, k + 2))))
+        having = lambda value, then: F.aggregate(F.array(value), state, lambda _, x: then(x))
 
-            def put(beside):
-                new = lambda x, i: F.when((i > k) | (i < k - 1), x).when(i == k, both(F.get(beside, F.lit(1)), made)).otherwise(both(F.get(beside, F.lit(0)), below(x)))
-                return F.transform(F.filter(state, lambda _, i: i != k + 1), new)
+        def merge_at(made, k):
+            """Parts k and k + 1 become one; the ranks of its pairs with the parts beside it are looked up."""
+            pairs = F.array(both(id_of(F.get(state, k - 1)), made), both(made, F.coalesce(id_of(F.get(state, k + 2)), absent)))
+            two = F.transform(pairs, lambda pair: both(known.rank(cells, factors, pair), F.shiftright(pair, known.bits)))
+            put = lambda two, left: F.transform(F.filter(state, lambda _, i: i != left + 2), lambda x, i: F.coalesce(F.get(two, i - left), x))
+            return having(k - 1, lambda left: having(two, lambda two: put(two, left)))
 
-            return F.when(made == known.none, state).otherwise(let(F.transform(pairs, lambda pair: known.rank(cells, factors, pair)), put))
+        def merge(least):
+            """``least``: the lowest rank above the first place where it is."""
+            merged = having(F.shiftright(least, known.bits), lambda made: having(id_of(least).cast("int"), lambda k: merge_at(made, k)))
+            return F.when(least >= known.none << known.bits, state).otherwise(merged)
 
-        lowest = F.array_position(F.transform(state, above), above(F.array_min(state)))
-        return let((lowest - 1).cast("int"), merge_at)
+        return having(F.array_min(F.transform(state, lambda x, k: x.bitwiseAND(~known.none).bitwiseOR(k.cast("long")))), merge)
 
     merged = F.aggregate(F.sequence(F.lit(2), F.size(word)), word, step)
-    return F.transform(F.when(F.size(word) > 1, merged).otherwise(word), lambda x: below(x).cast("int"))
+    return F.transform(F.when(F.array_min(word) < known.none << known.bits, merged).otherwise(word), lambda x: id_of(x).cast("int"))
 
 
 def _ranked(ranks: dict[bytes, int], known: RankMap):
@@ -249,8 +256,12 @@ def encode_documents(docs: DataFrame, ranks_path: str = RANKS, block: int = BLOC
     cells, factors = known.literals()
     common = common_words(docs)
     fold = lambda column: let(cells, lambda c: let(factors, lambda s: F.transform(column, lambda w: fold_merges(w, known, c, s))))
-    whole_words = docs.sparkSession.createDataFrame(pa.table({"words": pa.array([_ranked(ranks, known)([w.encode() for w in common]).to_pylist()], pa.list_(pa.list_(pa.int64())))}))
-    first = F.from_json(F.lit(json.dumps(whole_words.select(fold("words")).first()[0], separators=(",", ":"))), "array<array<int>>")
+    ranked, cuts = _ranked(ranks, known), range(0, len(common), FOLDED)
+    each = [ranked([w.encode() for w in common[i : i + FOLDED]]) for i in cuts]
+    words = pa.chunked_array([pa.ListArray.from_arrays([0, len(x)], x) for x in each], pa.list_(pa.list_(pa.int64()))).combine_chunks()
+    parts = docs.sparkSession.createDataFrame(pa.table({"at": pa.array(cuts, pa.int64()), "words": words})).repartition(max(1, len(cuts)))
+    folded = sorted(parts.select("at", F.to_json(fold("words")).alias("ids")).collect())
+    first = F.from_json(F.lit("[" + ",".join(r["ids"][1:-1] for r in folded) + "]"), "array<array<int>>")
     merged = F.concat(first, fold("words"))
     whole = let(merged, lambda m: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["words"], lambda i: F.get(m, i))).alias("ids"))))
     return word_blocks(docs, ranks, known, block, common).select(F.explode(whole).alias("d")).select("d.doc_id", "d.ids")

@@ -380,6 +380,24 @@ def test_colliding_pieces_have_their_own_ids(spark, tmp_path):
         assert sum(trees[doc_id][0]["tokens"]) == len(enc.encode_ordinary(text))
 
 
+def test_byte_bpe_of_a_merge_with_id_zero(spark, tmp_path, monkeypatch):
+    """An empty cell of the map of ranks is no merge of two parts of id 0; common words are folded in several tasks."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    monkeypatch.setattr(byte_bpe, "FOLDED", 2, raising=False)
+    ranks = {bytes([b]): b + 1 for b in range(256)} | {b"ab": 0, b"bc": 257, b"abc": 258, b"bcab": 259}
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % r for p, r in ranks.items()))
+    enc = tiktoken.Encoding("small", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(["abab", "xababab ab", "bcabcab abcbcab", "aabbcc abcabcabc", "abcabcabc \0\0"])]
+    got = rows_of(byte_bpe.encode_documents(documents(spark, rows), str(path)))
+    for doc_id, text, *_ in rows:
+        assert got[doc_id][0]["ids"] == enc.encode_ordinary(text), text
+
+
 def test_byte_bpe_digests_and_empty_table(spark):
     (r,) = byte_bpe.digests(documents(spark, corpus()[3:4])).collect()
     ids = reference_encoding().encode_ordinary(corpus()[3][1])
