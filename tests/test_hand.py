@@ -232,3 +232,12 @@ def test_path_loss_guards_on_the_segmentation(spark):
     loss = {r["volume_id"]: r["loss"] for r in L.path_loss(pairs, codes, at, dims_of(spark, 2)).collect()}
     assert loss[0] > 0 and loss[1] == 0
     assert L.path_loss(pairs, codes, at, dims_of(spark, 2), max_density=1.0).where("loss > 0").count() == 2
+
+
+def test_tables_of_nodes_are_not_broadcast(spark):
+    """A node table's file is a hundredth of it in memory, so its size as a file may not decide for a broadcast."""
+    nodes = spark.createDataFrame([(0, n, n, 0, float(n), 1.0, 1.0, 1.0, n - 1 if n > 1 else -1) for n in range(1, 9)], NODES)
+    soma = mask_of(spark, [(1, 1, 1)])
+    for df in (T.depth(nodes), T.connect_to_soma(nodes, soma, dims_of(spark), 1, "none")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
