@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -241,3 +242,10 @@ def test_tables_of_nodes_are_not_broadcast(spark):
     for df in (T.depth(nodes), T.connect_to_soma(nodes, soma, dims_of(spark), 1, "none")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_mask_is_not_broadcast_to_nodes(spark):
+    nodes = spark.createDataFrame([(0, 2, 2, 0, 1.0, 1.0, 1.0, 1.0, 1)], NODES)
+    found = T.nodes_in_mask(nodes, mask_of(spark, [(1, 1, 1)]), dims_of(spark), "none")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1 and re.search(r"SortMergeJoin.*LeftSemi", plan)
