@@ -249,3 +249,13 @@ def test_a_mask_is_not_broadcast_to_nodes(spark):
     found = T.nodes_in_mask(nodes, mask_of(spark, [(1, 1, 1)]), dims_of(spark), "none")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 1 and re.search(r"SortMergeJoin.*LeftSemi", plan)
+
+
+def test_sidecars_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """They are small, so by their bytes Spark would join all into one task."""
+    monkeypatch.setattr(S, "SIDECARS", 10, raising=False)
+    images = spark.range(40).select(F.format_string("image_%03d", "id").alias("nnunet_name"), F.struct(F.lit(1.0).alias("z"), F.lit(2.0).alias("y"), F.lit(3.0).alias("x")).alias("spacing"))
+    S.write_spacing(images, f"file://{tmp_path}/sidecars")
+    files = list((tmp_path / "sidecars").glob("name=*/part-*"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
+    assert spark.read.text(f"file://{tmp_path}/sidecars").where("value = '{\"spacing\":[1.0,2.0,3.0]}'").count() == 40
