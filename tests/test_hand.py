@@ -259,3 +259,15 @@ def test_sidecars_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     files = list((tmp_path / "sidecars").glob("name=*/part-*"))
     assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
     assert spark.read.text(f"file://{tmp_path}/sidecars").where("value = '{\"spacing\":[1.0,2.0,3.0]}'").count() == 40
+
+
+def test_streamline_swinging_across_a_border_stays_in_a_task(spark, monkeypatch):
+    rounds = []
+    append = G.Log.append
+    monkeypatch.setattr(G.Log, "append", lambda self, rows: rounds.append(1) or append(self, rows))
+    size = (40, 3, 3)
+    field = spark.createDataFrame([(0, *p, float(abs(p[0] - 32))) for p in itertools.product(*map(range, size))], PLACE + ", dist double")
+    target = spark.createDataFrame([(0, 1, 30.25, 1.0, 1.0)], "volume_id long, path_id int, z double, y double, x double")
+    got = G.streamline(field, target, mask_of(spark, [(0, 0, 0)]), 0.5, max_steps=30).orderBy("step").collect()
+    assert [r["z"] for r in got] == [30.25, 30.75, 31.25] + [31.75, 32.25] * 14
+    assert not any(r["ended"] for r in got) and len(rounds) < 5
