@@ -271,3 +271,14 @@ def test_streamline_swinging_across_a_border_stays_in_a_task(spark, monkeypatch)
     got = G.streamline(field, target, mask_of(spark, [(0, 0, 0)]), 0.5, max_steps=30).orderBy("step").collect()
     assert [r["z"] for r in got] == [30.25, 30.75, 31.25] + [31.75, 32.25] * 14
     assert not any(r["ended"] for r in got) and len(rounds) < 5
+
+
+def test_predecessors_are_found_by_tiles(spark):
+    """Across a tile's border as within it, and without a row for each voxel and neighbour."""
+    mask = mask_of(spark, [(0, 0, x) for x in range(28, 37)], [(1, 0, 0), (0, 0, 1), (0, 1, 0), (1, 1, 1)])
+    sources = spark.createDataFrame([(0, 0, 0, 28), (1, 1, 0, 0), (1, 0, 0, 1), (1, 0, 1, 0)], PLACE)
+    found = G.predecessor(G.geodesic_distance(mask, sources))
+    codes = {(r["volume_id"], r["z"], r["y"], r["x"]): r["pred_code"] for r in found.collect()}
+    assert codes == {(0, 0, 0, 28): -1, **{(0, 0, 0, x): 14 for x in range(29, 37)}, (1, 1, 0, 0): -1, (1, 0, 0, 1): -1, (1, 0, 1, 0): -1, (1, 1, 1, 1): 25}
+    joined = spark.createDataFrame([(0, 0, 0, 0, 0, 0, 0, 0.0)], PLACE + ", n_face int, n_edge int, n_corner int, dist double")
+    assert "Join" not in G.predecessor(joined)._jdf.queryExecution().executedPlan().toString()
