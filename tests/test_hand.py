@@ -282,3 +282,12 @@ def test_predecessors_are_found_by_tiles(spark):
     assert codes == {(0, 0, 0, 28): -1, **{(0, 0, 0, x): 14 for x in range(29, 37)}, (1, 1, 0, 0): -1, (1, 0, 0, 1): -1, (1, 0, 1, 0): -1, (1, 1, 1, 1): 25}
     joined = spark.createDataFrame([(0, 0, 0, 0, 0, 0, 0, 0.0)], PLACE + ", n_face int, n_edge int, n_corner int, dist double")
     assert "Join" not in G.predecessor(joined)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distance_to_background_is_read_off_the_field(spark):
+    """The rim is at 0, the mask is not; so the field is not joined with the mask again."""
+    mask = mask_of(spark, [(z, y, x) for z in (1, 2, 3) for y in (1, 2, 3) for x in (0, 1, 2)])
+    found = D.distance_to_background(mask, dims_of(spark, 1, (5, 5, 5)))
+    dist = {(r["z"], r["y"], r["x"]): r["dist"] for r in found.collect()}
+    assert len(dist) == 27 and dist[1, 1, 0] == 1.0 and dist[2, 2, 1] == 2.0
+    assert not re.search(r"Join \[volume_id#\d+L, z#", found._jdf.queryExecution().executedPlan().toString())
