@@ -15,6 +15,7 @@ from dendrovox.operators import geodesic as G
 from dendrovox.operators import scoring as L
 from dendrovox.operators import trees as T
 from dendrovox.operators import voxels as V
+from dendrovox.plans.iterate import materialize
 from dendrovox.sources import files as S
 
 PLACE = "volume_id long, z int, y int, x int"
@@ -246,7 +247,7 @@ def test_tables_of_nodes_are_not_broadcast(spark):
 
 def test_a_mask_is_not_broadcast_to_nodes(spark):
     nodes = spark.createDataFrame([(0, 2, 2, 0, 1.0, 1.0, 1.0, 1.0, 1)], NODES)
-    found = T.nodes_in_mask(nodes, mask_of(spark, [(1, 1, 1)]), dims_of(spark), "none")
+    found = T.nodes_in_mask(nodes, materialize(mask_of(spark, [(1, 1, 1)])), dims_of(spark), "none")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 1 and re.search(r"SortMergeJoin.*LeftSemi", plan)
 
